@@ -125,10 +125,12 @@ class IdEncoder:
     Pieces between two spaces that have no white space beside them are encoded once and
     kept: both supported kinds of vocabulary cut texts there in any case, so the ids are
     those of the whole text. Any other text goes through a slower split that keeps runs
-    of white space whole. The cache is emptied when it reaches `limit` pieces.
+    of white space whole. New pieces are encoded many at a time, joined by a mark that
+    always is a token of its own. The cache has two generations of up to `limit` pieces:
+    when the younger one is full it becomes the older, whose pieces return when used.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 450_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -139,7 +141,13 @@ class IdEncoder:
         self.limit = limit
         # A vocabulary with word ends drops white space; a byte-level one joins it to the next word.
         self.drops_space = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
+        self.mark = " \x01 " if self.drops_space else "\n"
+        (self.mark_id,) = self._encode([self.mark])[0].tolist()
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def split(self, text: str) -> list[str]:
         if self.drops_space:
@@ -147,18 +155,38 @@ class IdEncoder:
         pieces = _LONE_SPACE.split(text) if _SPACE_BY_SPACE.search(text) else text.split(" ")
         return [pieces[0], *[" " + p for p in pieces[1:]]] if len(pieces) > 1 else pieces
 
+    def _learn(self, pieces: list[str], together: int = 200) -> None:
+        mark = self.mark.strip(" ")
+        plain, odd = [], []
+        for p in pieces:
+            (odd if mark in p or not p or p[-1].isspace() or p[:1].isspace() and p[:1] != " " else plain).append(p)
+        runs = [plain[i : i + together] for i in range(0, len(plain), together)]
+        for run, ids in zip(runs, self._encode([self.mark.join(r) for r in runs]), strict=True):
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) != len(run) - 1:
+                odd += run
+                continue
+            flat, at = ids.tobytes(), 0
+            for piece, cut in zip(run, [*cuts.tolist(), len(ids)], strict=True):
+                self.cache[piece] = flat[4 * at : 4 * cut]
+                at = cut + 1
+        for start in range(0, len(odd), 1000):
+            for piece, ids in zip(odd[start : start + 1000], self._encode(odd[start : start + 1000]), strict=True):
+                self.cache[piece] = ids.tobytes()
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers; null counts as empty."""
         split = [self.split(t) if t else [] for t in texts]
-        wanted = set().union(*split) if split else set()
-        missing = [p for p in wanted if p not in self.cache]
-        if missing and len(self.cache) + len(missing) > self.limit:
-            self.cache = {}
-            missing = list(wanted)
-        for start in range(0, len(missing), 2000):
-            part = missing[start : start + 2000]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(got.ids, dtype="<u4").tobytes()
+        missing = list(set().union(*split).difference(self.cache))
+        if missing:
+            if len(self.cache) + len(missing) > self.limit:
+                self.older, self.cache = self.cache, {}
+                missing = list(set().union(*split))
+            if self.older:
+                again = [p for p in missing if p in self.older]
+                self.cache.update((p, self.older[p]) for p in again)
+                missing = [p for p in missing if p not in self.cache]
+            self._learn(missing)
         take = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(take, pieces)), dtype="<u4") for pieces in split]
 

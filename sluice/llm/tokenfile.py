@@ -64,7 +64,10 @@ def _block_words(values: np.ndarray) -> np.ndarray:
             most = np.concatenate([np.maximum(most[:-step], most[step:]), np.full(step, 99, np.int8)]) if step < n else np.full(n, 99, np.int8)
             span += step
         if count <= n:
-            choice[most <= bits] = s
+            fits = most <= bits
+            if not fits.any():  # more values of fewer bits can't fit either
+                break
+            choice[fits] = s
     # A single value of up to 30 bits at the end of a block shares its word with a zero.
     if width[-1] <= 30 and choice[-1] == 0:
         choice[-1] = 15
