@@ -19,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import BITS, in_bitmap, repeated
 from .common import free_name, stored
 
-PREFIX, BITS, PAGE = 64, 1 << 22, 32_768
+PREFIX = 64
 
 
 def normalised(text: Column) -> Column:
@@ -34,35 +35,15 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
-def _repeated(keys: DataFrame, bits: int) -> DataFrame:
-    """A bitmap of the 64-bit keys k that occur more than once: bits / 32768 rows of 4 KB at most."""
-    again = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    slot = again.select(F.pmod(F.xxhash64("k"), F.lit(bits)).alias("slot"))
-    page = slot.groupBy(F.floor(F.col("slot") / PAGE).alias("page")).agg(F.bitmap_construct_agg(F.col("slot") % PAGE).alias("map"))
-    return stored(page, "bitmap")
-
-
-def _in_bitmap(df: DataFrame, key: Column, bitmap: DataFrame, bits: int, name: str) -> DataFrame:
-    """df with a column `name`: whether the key's bit is set. The bitmap's size is fixed, so it is broadcast."""
-    page, cell = free_name(df, "page", "map")
-    slot = F.pmod(F.xxhash64(key), F.lit(bits))
-    small = F.broadcast(bitmap.select(F.col("page").alias(page), F.col("map").alias(cell)))
-    place = (slot % PAGE).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col(cell), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.coalesce(F.getbit(byte, place % 8), F.lit(0)) == 1
-    return df.join(small, F.floor(slot / PAGE) == F.col(page), "left").withColumn(name, bit).drop(page, cell)
-
-
 def _survivors(docs: DataFrame, text_col: str, bits: int, name: str) -> DataFrame:
     """docs with a boolean column: both its length and its prefix occur again."""
-    assert bits % PAGE == 0 and bits <= 1 << 26
     length = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
     head = F.xxhash64(length, normalised(F.substring(F.col(text_col), 1, PREFIX)))
     same_length, _ = free_name(docs, "same_length", name)
-    lengths = _repeated(docs.select(length.alias("k")), bits)
-    first = _in_bitmap(docs, length, lengths, bits, same_length)
-    heads = _repeated(first.filter(same_length).select(head.alias("k")), bits)
-    return _in_bitmap(first, head, heads, bits, name).withColumn(name, F.col(name) & F.col(same_length)).drop(same_length)
+    lengths = repeated(docs.select(length.alias("k")), bits)
+    first = in_bitmap(docs, length, lengths, bits, same_length)
+    heads = repeated(first.filter(same_length).select(head.alias("k")), bits)
+    return in_bitmap(first, head, heads, bits, name).withColumn(name, F.col(name) & F.col(same_length)).drop(same_length)
 
 
 def _classes(ids: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, packing, tokenfile
+from . import exactdedup, neardup, packing, tokenfile
 from .common import read
 
 
@@ -42,3 +42,10 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
         FROM t""",
 }
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_near_dedup"] = op4_near_dedup
