@@ -10,7 +10,9 @@ verified by exact word edit distance: at most `edits` times the item's words.
 
 An edit touches two pairs of neighbouring words at most, so a window within k edits of an
 item of n words holds n - 1 - 2k of its word pairs. Windows with fewer pairs from all
-items are passed over before they are embedded; this loses nothing. Item lengths are grouped in classes that differ by less than the allowed edits.
+items are passed over before they are embedded; this loses nothing. Item
+lengths are grouped in classes; windows have the least length of the class and are
+compared with as many first words of its items.
 
 Items are taken in blocks of `block` items; the index of a block, the only thing sent to
 the executors, is of that bounded size. Items of fewer than `least_words` words are
@@ -37,20 +39,24 @@ _PAD = np.uint64(0)
 
 
 def embed(windows: np.ndarray, seed: int, places: np.ndarray) -> np.ndarray:
-    """The CGK embedding of each row of windows (n words to 3n), at the sorted places asked for."""
+    """The CGK embedding of each row of windows (n words to 3n), at the sorted places asked for.
+
+    Step j of the walk moves on when bit j of the word's random function is set.
+    """
     count, n = windows.shape
-    padded = np.concatenate([windows, np.full((count, 1), _PAD)], axis=1)
-    at = np.zeros(count, np.int64)
-    rows = np.arange(count)
+    flat = np.concatenate([windows, np.full((count, 1), _PAD)], axis=1).ravel()
+    low = np.arange(count) * (n + 1)
+    at, end = low.copy(), low + n
     out = np.empty((count, len(places)), np.uint64)
     k = 0
     for j in range(int(places[-1]) + 1):
-        word = padded[rows, at]
+        if not j % 64:
+            bits = mix(flat ^ np.uint64(((seed * 1_003 + j) * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF))
         if j == places[k]:
-            out[:, k] = word
+            out[:, k] = flat[at]
             k += 1
-        step = (mix(word ^ np.uint64(((seed * 1_000_003 + j) * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)).astype(np.int64)
-        at = np.minimum(at + step, n)
+        at += ((bits[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+        np.minimum(at, end, out=at)
     return out
 
 
@@ -114,12 +120,12 @@ class Index:
 
     @staticmethod
     def size_class(n: int) -> int:
-        """Lengths up to 12 are classes of their own; above, classes grow by a twelfth."""
-        size = 12
+        """Lengths up to 8 are classes of their own; above, classes grow by a fourth, and items are cut to the class."""
+        size = 8
         if n <= size:
             return n
-        while size + max(1, size // 12) <= n:
-            size += max(1, size // 12)
+        while size + size // 4 <= n:
+            size += size // 4
         return size
 
     @staticmethod

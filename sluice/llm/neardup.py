@@ -62,7 +62,7 @@ class Sampler:
                 i = int(np.argmin(a))
                 if a[i] < best[k]:
                     best[k] = a[i]
-                    out[k] = h[i] ^ (np.int64(t[i]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    out[k] = h[i] ^ np.uint64(int(t[i]) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         return mix(out)
 
 

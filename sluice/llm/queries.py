@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exactdedup, language, neardup, packing, tokenfile, toxicity
+from . import chat, decontaminate, exactdedup, language, licences, neardup, packing, tokenfile, toxicity, urlfilter
 from .common import read
 
 
@@ -72,3 +72,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_decontamination": op1_decontamination, "op3_chat_format": op3_chat_format, "op5_toxicity": op5_toxicity, "op7_language_id": op7_language_id}
+
+
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
+#: The rules of the registered query.
+URL_RULES = [urlfilter.rule("block", "com/en/"), urlfilter.rule("allow", "example.com/en/7"), urlfilter.rule("allow", "net/de/"), urlfilter.rule("block", "example.net/de/8"), urlfilter.rule("block", "org/es/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES |= {"op2_licence_scan": op2_licence_scan, "op10_url_filter": op10_url_filter}
