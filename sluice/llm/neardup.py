@@ -25,46 +25,61 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bitmaps import BITS, bitmap, drop_ids, in_bitmap
 from .common import mix, shingle_hashes, stored, word_hashes
 
-DF_BITS, SLICES, BANDS, ROWS, SHINGLE, THRESHOLD = 20, 32, 12, 4, 5, 0.8
+DF_BITS, SLICES, BANDS, ROWS, SHINGLE, THRESHOLD, HUBS = 20, 32, 12, 4, 5, 0.8, 32
 _TABLE = 1 << 16
 
 
 class Sampler:
-    """Weighted samples of a multiset; draws come from tables indexed by parts of a mixed hash."""
+    """Weighted samples of multisets; draws come from tables indexed by parts of a mixed hash."""
 
     def __init__(self, count: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.r = rng.gamma(2.0, 1.0, _TABLE).astype(np.float32)
+        r = rng.gamma(2.0, 1.0, _TABLE)
+        beta = rng.random(_TABLE)
+        # With t = floor(log w / r + beta), the sample is the least log c - r * (t - beta + 1).
+        self.walk = np.stack([1 / r, beta, r, r * (beta - 1)], axis=1).astype(np.float32)
         self.log_c = np.log(rng.gamma(2.0, 1.0, _TABLE)).astype(np.float32)
-        self.beta = rng.random(_TABLE, dtype=np.float32)
         self.keys = rng.integers(1, 2**63, count, dtype=np.uint64) | np.uint64(1)
 
-    def sample(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """One 64-bit sample per key: the chosen shingle and its quantised log weight, hashed."""
-        out = np.empty(len(self.keys), np.uint64)
-        log_w = np.log(weights).astype(np.float32)
-        best = np.full(len(self.keys), np.inf, np.float32)
-        for start in range(0, len(hashes), 16_384):
-            h, lw = hashes[start : start + 16_384], log_w[start : start + 16_384]
-            for k, key in enumerate(self.keys):
-                m = h * key
-                m ^= m >> np.uint64(32)
-                r = self.r[(m & np.uint64(0xFFFF)).astype(np.int64)]
-                beta = self.beta[((m >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)]
-                t = np.floor(lw / r + beta)
-                a = self.log_c[(m >> np.uint64(48)).astype(np.int64)] - r * (t - beta + 1)
-                i = int(np.argmin(a))
-                if a[i] < best[k]:
-                    best[k] = a[i]
-                    out[k] = h[i] ^ np.uint64(int(t[i]) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    def sample(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """A row of 64-bit samples for each set (none empty): the chosen shingle and its quantised log weight, hashed."""
+        out = np.empty((len(sets), len(self.keys)), np.uint64)
+        first = 0
+        while first < len(sets):  # about 16 000 shingles at a time stay in cache
+            last, held = first, 0
+            while last < len(sets) and (not held or held + len(sets[last][0]) <= 16_384):
+                held += len(sets[last][0])
+                last += 1
+            out[first:last] = self._lot(sets[first:last])
+            first = last
         return mix(out)
 
+    def _lot(self, sets) -> np.ndarray:
+        hashes = np.concatenate([s[0] for s in sets])
+        log_w = np.log(np.concatenate([s[1] for s in sets])).astype(np.float32)
+        begin = np.cumsum([0, *[len(s[0]) for s in sets[:-1]]])
+        place = np.arange(len(hashes), dtype=np.int64)
+        out = np.empty((len(sets), len(self.keys)), np.uint64)
+        for k, key in enumerate(self.keys):
+            m = hashes * key
+            m ^= m >> np.uint64(32)
+            parts = m.view(np.uint16)
+            walk = self.walk.take(parts[0::4], axis=0)
+            t = np.floor(log_w * walk[:, 0] + walk[:, 1])
+            a = self.log_c.take(parts[1::4]) - walk[:, 2] * t + walk[:, 3]
+            # Floats as integers of the same order, with the place below: one minimum gives both.
+            bits = a.view(np.int32)
+            bits = bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))
+            least = np.minimum.reduceat((bits.astype(np.int64) << 32) | place, begin) & 0xFFFFFFFF
+            out[:, k] = hashes[least] ^ (t[least].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return out
+
 
 def words32(text: str | None) -> np.ndarray:
     return word_hashes(text).astype(np.uint32)
@@ -155,15 +170,11 @@ def _signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
     def run(batches):
         sampler, table = Sampler(bands * rows), idf.value
         for batch in batches:
-            nodes, keys = [], []
-            for t in batch.column(1).to_pylist():
-                words = words32(t)
-                if not len(words):
-                    nodes.append(None), keys.append(None)
-                    continue
-                got = sampler.sample(*weighted(words, table)).reshape(bands, rows)
-                nodes.append(xxhash.xxh3_128_digest(words.tobytes()))
-                keys.append([xxhash.xxh3_64_intdigest(r.tobytes(), seed=b) - (1 << 63) for b, r in enumerate(got)])
+            words = [words32(t) for t in batch.column(1).to_pylist()]
+            sets = [weighted(w, table) for w in words if len(w)]
+            got = iter(sampler.sample(sets).reshape(-1, bands, rows))
+            nodes = [xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None for w in words]
+            keys = [[xxhash.xxh3_64_intdigest(r.tobytes(), seed=b) - (1 << 63) for b, r in enumerate(next(got))] if len(w) else None for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
 
     return docs.mapInArrow(run, "doc_id long, node binary, keys array<long>")
@@ -239,6 +250,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     edges = stored(_verify(tested, sets, idf, threshold), "links")
     active = members.filter("node <> hub").select("band", "key", "node")
     labels = connected(edges, "hub", "a")
+    hubs = HUBS
     while True:
         # Then, where nodes of different classes are left, some of the smallest classes against all others.
         now = active.join(labels.select("node", "label"), "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
@@ -247,9 +259,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         if left.isEmpty():
             break
         sizes = left.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("size"))
-        ranked = left.join(sizes, ["band", "key", "label"]).select("band", "key", "node", "label", F.struct("size", F.xxhash64("node").alias("h"), "node", "label").alias("rank"))
-        chosen = ranked.groupBy("band", "key").agg(F.min("rank").alias("first"))
-        chosen = stored(chosen.select("band", "key", F.col("first.node").alias("hub"), F.col("first.label").alias("hub_label")), "hubs")
+        # Spark cuts a rank with an upper bound before it shuffles, so a large bucket is not sorted in one task.
+        order = Window.partitionBy("band", "key").orderBy("size", F.xxhash64("node"), "node")
+        ranked = left.join(sizes, ["band", "key", "label"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= hubs)
+        chosen = stored(ranked.select("band", "key", F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hubs")
         pairs = left.join(chosen, ["band", "key"]).filter("label <> hub_label").select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("a")).distinct()
         new = stored(pairs.join(tested, ["hub", "a"], "left_anti"), "pairs")
         more = stored(_verify(new, sets, idf, threshold), "links")
@@ -257,7 +270,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         if not more.isEmpty():
             edges = edges.union(more)
             labels = connected(edges, "hub", "a")
-        active = left.join(chosen, ["band", "key"]).filter("node <> hub").select("band", "key", "node")
+        retired = chosen.select("band", "key", F.col("hub").alias("node"))
+        active = left.join(retired, ["band", "key", "node"], "left_anti").select("band", "key", "node")
+        hubs *= 4
 
     degree = edges.select("hub", "a").union(edges.select("a", "hub")).distinct().groupBy(F.col("hub").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
     node_class = nodes.select("node", "doc_id").join(labels, "node", "left").join(degree, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
