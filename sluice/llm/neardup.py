@@ -146,22 +146,40 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def connected(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
-    """(node, label): the smallest node of each component of the undirected edges.
+    """(node, label): one label for all nodes of each component of the undirected edges.
 
-    Each round a node takes the smallest label around it, then its label's label. Labels
-    are aggregated before the shuffle, so a node of any degree stays one row per task.
+    Level by level each node points to the smallest node at or next to it, edges are
+    carried over to what their ends point to, and loops and repeats go, so every level
+    has half the nodes or fewer. Pointers are aggregated before the shuffle: a node of
+    any degree is one row a task.
     """
-    both = stored(edges.select(F.col(src).alias("x"), F.col(dst).alias("y")).union(edges.select(F.col(dst), F.col(src))).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
-    while True:
-        around = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("near"))
-        step = labels.join(around, F.col("node") == F.col("x"), "left").select("node", "label", F.least("label", "near").alias("new"))
-        parent = labels.select(F.col("node").alias("up"), F.col("label").alias("top"))
-        jumped = step.join(parent, F.col("new") == F.col("up"), "left").select("node", "label", F.least("new", F.coalesce("top", "new")).alias("new"))
-        jumped = stored(jumped, "labels")
-        labels = jumped.select("node", F.col("new").alias("label"))
-        if jumped.filter("label <> new").isEmpty():
-            return labels
+    levels = []
+    x, y = F.col(src), F.col(dst)
+    now = stored(edges.filter(x != y).select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct(), "edges")
+    while not levels or not now.isEmpty():
+        ends = now.select(F.col("x").alias("node"), F.col("x").alias("near")).union(now.select(F.col("y"), F.col("x")))
+        points = stored(ends.groupBy("node").agg(F.min("near").alias("label")), "labels")
+        levels.append(points)
+        left = points.select(F.col("node").alias("x"), F.col("label").alias("px"))
+        right = points.select(F.col("node").alias("y"), F.col("label").alias("py"))
+        carried = now.join(left, "x").join(right, "y").filter("px <> py")
+        now = stored(carried.select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct(), "edges")
+    labels = levels[0]
+    for level in levels[1:]:
+        up = level.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        labels = labels.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return stored(labels, "labels")
+
+
+def merged(labels: DataFrame, edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
+    """labels after more edges, which are first carried over to the labels of their ends."""
+    one, two = labels.select(F.col("node").alias(src), F.col("label").alias("one")), labels.select(F.col("node").alias(dst), F.col("label").alias("two"))
+    carried = stored(edges.join(one, src, "left").join(two, dst, "left").select(F.coalesce("one", src).alias("a"), F.coalesce("two", dst).alias("b")).distinct(), "carried")
+    joined = connected(carried)
+    up = joined.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    old = labels.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    fresh = joined.join(labels, "node", "left_anti").join(labels.select(F.col("label").alias("node")).distinct(), "node", "left_anti")
+    return stored(old.union(fresh.select("node", "label")), "labels")
 
 
 def _signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
@@ -269,7 +287,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         tested = tested.union(new)
         if not more.isEmpty():
             edges = edges.union(more)
-            labels = connected(edges, "hub", "a")
+            labels = merged(labels, more, "hub", "a")
         retired = chosen.select("band", "key", F.col("hub").alias("node"))
         active = left.join(retired, ["band", "key", "node"], "left_anti").select("band", "key", "node")
         hubs *= 4
