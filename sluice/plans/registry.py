@@ -140,7 +140,7 @@ def stock_registry() -> Registry:
         "vec/fail@1": contract([_IN, *_CONFIG("code", "message", "retryable")], _OUT, "effectful", "effect"),
         "vec/flaky@1": contract([_IN, *_CONFIG("succeed_on")], _OUT, "effectful", "effect"),
         "vec/keyecho@1": contract([_IN], _OUT, "effectful", "effect"),
-        "vec/failif@1": contract([_IN, *_CONFIG("when")], _OUT, "pure"),
+        "vec/failif@1": contract([{"name": "in", **_ANY}, *_CONFIG("when")], _OUT, "pure"),
         "vec/deep@1": contract([_IN, *_CONFIG("n")], _OUT, "pure"),
     }
     return out
