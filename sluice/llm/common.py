@@ -130,7 +130,7 @@ class IdEncoder:
     when the younger one is full it becomes the older, whose pieces return when used.
     """
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -143,25 +143,30 @@ class IdEncoder:
         self.drops_space = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
         self.mark = " \x01 " if self.drops_space else "\n"
         (self.mark_id,) = self._encode([self.mark])[0].tolist()
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.cache: dict[str | tuple, bytes] = {}
+        self.older: dict[str | tuple, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def split(self, text: str) -> list[str]:
+    def split(self, text: str) -> list:
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
         pieces = _LONE_SPACE.split(text) if _SPACE_BY_SPACE.search(text) else text.split(" ")
-        return [pieces[0], *[" " + p for p in pieces[1:]]] if len(pieces) > 1 else pieces
+        pieces[0] = (pieces[0],)  # the first has no space before it, all others have
+        return pieces
 
-    def _learn(self, pieces: list[str], together: int = 200) -> None:
+    def _text(self, piece: str | tuple) -> str:
+        return piece[0] if isinstance(piece, tuple) else piece if self.drops_space else " " + piece
+
+    def _learn(self, pieces: list, together: int = 200) -> None:
         mark = self.mark.strip(" ")
         plain, odd = [], []
-        for p in pieces:
-            (odd if mark in p or not p or p[-1].isspace() or p[:1].isspace() and p[:1] != " " else plain).append(p)
+        for piece in pieces:
+            p = self._text(piece)
+            (odd if mark in p or not p or p[-1].isspace() or p[:1].isspace() and p[:1] != " " else plain).append(piece)
         runs = [plain[i : i + together] for i in range(0, len(plain), together)]
-        for run, ids in zip(runs, self._encode([self.mark.join(r) for r in runs]), strict=True):
+        for run, ids in zip(runs, self._encode([self.mark.join(map(self._text, r)) for r in runs]), strict=True):
             cuts = np.flatnonzero(ids == self.mark_id)
             if len(cuts) != len(run) - 1:
                 odd += run
@@ -171,7 +176,7 @@ class IdEncoder:
                 self.cache[piece] = flat[4 * at : 4 * cut]
                 at = cut + 1
         for start in range(0, len(odd), 1000):
-            for piece, ids in zip(odd[start : start + 1000], self._encode(odd[start : start + 1000]), strict=True):
+            for piece, ids in zip(odd[start : start + 1000], self._encode([self._text(p) for p in odd[start : start + 1000]]), strict=True):
                 self.cache[piece] = ids.tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
