@@ -26,17 +26,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, in_slices
 
 #: SCALE brings vectors of gram shares to about length 1.
 DIM, PER_LANGUAGE, MOST, FOLDS, HELD, SCALE = 4_096, 500, 8_000, 4, 2, 12.0
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+class _Grams(dict):
+    """Gram -> its place among DIM; emptied when full."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        self[gram] = place = xxhash.xxh32_intdigest(gram.encode("utf-32-le", "surrogatepass")) % DIM
+        return place
+
+
+_places = _Grams()
+
+
 def grams(word: str) -> list[int]:
-    padded = f"^{word}$".encode("utf-32-le", "surrogatepass")
-    n = len(padded) // 4
-    return [xxhash.xxh32_intdigest(padded[4 * i : 4 * (i + size)]) % DIM for size in (1, 2, 3, 4) for i in range(n - size + 1)]
+    padded = f"^{word}$"
+    n = len(padded)
+    return [_places[padded[i : i + size]] for size in (1, 2, 3, 4) for i in range(n - size + 1)]
 
 
 def vector(text: str | None) -> np.ndarray | None:
@@ -144,16 +157,26 @@ def train(docs: DataFrame, folds: int = FOLDS, held: int = HELD, per_language: i
 class _Pieces(dict):
     """White-space separated piece -> float32 bytes: the margins of its grams, and their number."""
 
-    def __init__(self, model: Model, limit: int = 200_000):
-        self.model, self.limit = model, limit
+    def __init__(self, model: Model, limit: int = 500_000):
+        self.weights, self.limit = np.ascontiguousarray(model.weights.T, np.float32), limit
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = [g for w in _LETTERS.findall(piece.lower()) for g in grams(w)]
-        value = np.append(self.model.weights[:, ids].sum(axis=1), len(ids)).astype("<f4").tobytes()
-        if len(self) >= self.limit:
+    def learn(self, pieces: set[str], together: int = 2_000) -> None:
+        """Takes up the pieces that are new, many at a time; empties itself first if they are too many."""
+        new = [p for p in pieces if p not in self]
+        if len(self) + len(new) > self.limit:
             self.clear()
-        self[piece] = value
-        return value
+            new = list(pieces)
+        for first in range(0, len(new), together):
+            lot = new[first : first + together]
+            ids = [[g for w in _LETTERS.findall(p.lower()) for g in grams(w)] for p in lot]
+            counts = np.array([len(x) for x in ids])
+            rows = np.zeros((len(lot), self.weights.shape[1] + 1), "<f4")
+            rows[:, -1] = counts
+            some = counts > 0
+            if some.any():
+                begin = np.cumsum(counts) - counts
+                rows[some, :-1] = np.add.reduceat(self.weights[np.array([g for x in ids for g in x])], begin[some], axis=0)
+            self.update(zip(lot, map(bytes, rows), strict=True))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, held: int = HELD, **options) -> DataFrame:
@@ -166,14 +189,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         pieces = _Pieces(m) if m else None
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column(1).to_pylist():
-                got = ("und", 0.0)
-                if m and text:
-                    flat = np.frombuffer(b"".join(map(pieces.__getitem__, text.split())), "<f4").reshape(-1, len(m.biases) + 1)
-                    total = flat.sum(axis=0, dtype=np.float64)
-                    if total[-1]:
-                        got = m.predict(total[:-1] / total[-1] * SCALE + m.biases)
-                langs.append(got[0]), scores.append(got[1])
+            texts = batch.column(1).to_pylist()
+            for a, b in in_slices(texts):
+                split = [t.split() if m and t else [] for t in texts[a:b]]
+                if m:
+                    pieces.learn(set().union(*split))
+                for words in split:
+                    got = ("und", 0.0)
+                    if words:
+                        flat = np.frombuffer(b"".join(map(pieces.__getitem__, words)), "<f4").reshape(-1, len(m.biases) + 1)
+                        total = flat.sum(axis=0, dtype=np.float64)
+                        if total[-1]:
+                            got = m.predict(total[:-1] / total[-1] * SCALE + m.biases)
+                    langs.append(got[0]), scores.append(got[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     found = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
