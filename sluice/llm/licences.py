@@ -1,16 +1,21 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text. A sparse logistic regression over word n-grams (words
-and word pairs) gives each paragraph the probability of each licence family or of none;
-it is trained on variations of the templates below and on prose that only resembles
-them. A paragraph is of a family when its calibrated probability reaches `confident`,
-the level at which no held-out prose is taken for a licence, and when it shares enough
-words with a template of that family; otherwise it is unknown.
+Notices are often hard-wrapped, so what is judged is every run of neighbouring lines, up
+to one and a half times the length of the longest template, that no blank line (or line
+without words, as in a comment) interrupts. Lines are cut into pieces of 12 words for
+this, so a notice is found within a long line as well; a line longer than a run is also
+judged as a whole. A sparse logistic regression over word n-grams (words and word pairs)
+gives each run the probability of each licence family or of none; it is trained on
+variations of the templates below and on prose that only resembles them. A run is of a
+family when its calibrated probability reaches the level at which no held-out prose is
+taken for a licence, and when it shares enough words with a template of that family;
+otherwise it is unknown.
 
 The model is small and made on the driver from the fixed texts below, so it is the same
 for all data. Texts are judged by Column expressions alone, without a shuffle. As a
-prediction must be confirmed by a template, a paragraph with none of the words that
-every template has one of is unknown without being scored. Whole texts are read, whatever their length. Null and empty texts
+prediction must be confirmed by a template, a run that holds too little of every template
+is unknown without being scored, and so is one without any of `marks`, as the share of a
+template that confirms must hold one of them. Whole texts are read, whatever their length. Null and empty texts
 have no licence; null ids and repeated rows are carried; extra columns are ignored; an
 empty table gives an empty result.
 """
@@ -18,7 +23,9 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import math
 import re
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -81,10 +88,12 @@ PROSE = [
     "No rights were mentioned and all copies were provided with a cover.",
     "They may redistribute the food to any person in the house.",
 ]
-#: Every template above holds one of these (a test says so); a paragraph without any is unknown.
-MARKS = ["licen[cs]e", "rights reserved", "redistribut", "permission is", "proprietary", "unauthori[sz]ed", "creative commons", "bsd-style"]
+#: Frequent words, which `marks` takes last. They decide how many runs are looked at, not the result.
+COMMON = set("a all and any as at be by can code copy deal except file files for form forms free following found general in is it later may not of only or person program provided public published released software source style subject terms that the this to under use v version via with without work you".split())
+PIECE = 12
 UNKNOWN = "unknown"
 FAMILIES = sorted(TEMPLATES)
+_BREAK, _NO_WORD = "\r\n|\n|\r", "[^a-z0-9]+"
 
 
 def words_of(text: str) -> list[str]:
@@ -95,6 +104,19 @@ def grams_of(words: list[str]) -> list[str]:
     return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
+def marks(confirm: float) -> list[str]:
+    """Words of which any share `confirm` of the words of any template holds one."""
+    found = set()
+    for t in (t for f in FAMILIES for t in TEMPLATES[f]):
+        words = sorted(set(words_of(t)), key=lambda w: (w.isdigit(), w in COMMON, -len(w), w))
+        found |= set(words[: len(words) - math.ceil(confirm * len(words) - 1e-9) + 1])
+    return sorted(found)
+
+
+#: Words after which a run is not made longer.
+LONGEST = max(len(words_of(t)) for ts in TEMPLATES.values() for t in ts) * 3 // 2
+
+
 @functools.cache
 def model(seed: int = 5, variations: int = 60, steps: int = 300, rate: float = 0.5, decay: float = 2e-3) -> tuple[dict[str, list[float]], list[float], float]:
     """n-gram -> weights per class (families, then unknown); biases; the calibrated level."""
@@ -144,17 +166,20 @@ def _shared(words: Column, family: str) -> Column:
     return shares[0] if len(shares) == 1 else F.greatest(*shares)
 
 
-def _judged(paragraph: Column, confirm: float) -> Column:
-    """A struct of family, probability and share of the template for a paragraph."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value; as a lambda's variable it is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _judged(words: Column, confirm: float) -> Column:
+    """A struct of family, probability and share of the template for a run of words."""
     weights, biases, level = model()
     table = F.create_map(*[v for g, w in weights.items() for v in (F.lit(g), F.array(*map(F.lit, w)))])
-    words = F.filter(F.split(F.lower(paragraph), "[^a-z0-9]+"), lambda w: w != "")
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     grams = F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.contains(" "))))
     start = F.array(*map(F.lit, biases))
     found = F.filter(F.transform(grams, lambda g: F.try_element_at(table, g)), lambda w: w.isNotNull())
     logits = F.aggregate(found, start, lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))
-    shares = [(f, _shared(words, f)) for f in FAMILIES]
 
     def decided(z: Column) -> Column:
         top = F.array_max(z)
@@ -162,26 +187,76 @@ def _judged(paragraph: Column, confirm: float) -> Column:
         family = F.element_at(F.array(*map(F.lit, [*FAMILIES, UNKNOWN])), F.array_position(z, top).cast("int"))
         return F.struct(family.alias("family"), p.alias("probability"))
 
-    def confirmed(d: Column) -> Column:
-        share = functools.reduce(lambda rest, fs: F.when(d["family"] == fs[0], fs[1]).otherwise(rest), shares, F.lit(0.0))
-        sure = (d["family"] != UNKNOWN) & (d["probability"] >= level) & (share >= confirm)
-        return F.struct(F.when(sure, d["family"]).otherwise(F.lit(UNKNOWN)).alias("family"), d["probability"].alias("probability"), share.alias("share"))
+    def confirmed(shares: Column) -> Column:
+        def one(d: Column) -> Column:
+            share = functools.reduce(lambda rest, k: F.when(d["family"] == FAMILIES[k], F.element_at(shares, k + 1)).otherwise(rest), range(len(FAMILIES)), F.lit(0.0))
+            sure = (d["family"] != UNKNOWN) & (d["probability"] >= level) & (share >= confirm)
+            return F.struct(F.when(sure, d["family"]).otherwise(F.lit(UNKNOWN)).alias("family"), d["probability"].alias("probability"), share.alias("share"))
+
+        nothing = F.struct(F.lit(UNKNOWN).alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("share"))
+        return F.when(F.array_max(shares) >= confirm, _let(_let(logits, decided), one)).otherwise(nothing)
+
+    return _let(F.array(*[_shared(words, f) for f in FAMILIES]), confirmed)
+
+
+def _runs(lines: Column, wanted: Column) -> Column:
+    """Of lines of words, the runs that hold a wanted word: structs of first and last line and the words."""
 
-    once = F.transform(F.array(logits), decided)  # a lambda's variable is computed once
-    return F.element_at(F.transform(once, confirmed), 1)
+    def piece(line: Column, words: Column) -> Column:
+        return F.struct(line.alias("line"), words.alias("words"), F.size(words).alias("n"), F.arrays_overlap(words, wanted).alias("mark"))
+
+    def cut(ws: Column, line: Column) -> Column:
+        last = F.floor(F.greatest(F.size(ws) - 1, F.lit(0)) / PIECE).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: _let(F.slice(ws, k * PIECE + 1, PIECE), lambda words: piece(line, words)))
+
+    def grown(s: Column) -> Column:
+        """All runs from the first piece of s on."""
+        # How many pieces come before a blank one, and before the words are enough.
+        more = lambda acc, p: F.when(acc["open"] & (acc["n"] < LONGEST) & (p["n"] > 0), F.struct((acc["k"] + 1).alias("k"), (acc["n"] + p["n"]).alias("n"), F.lit(True).alias("open"), (acc["mark"] | p["mark"]).alias("mark"))).otherwise(F.when(acc["open"], F.struct(acc["k"].alias("k"), acc["n"].alias("n"), F.lit(False).alias("open"), acc["mark"].alias("mark"))).otherwise(acc))
+        none = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("open"), F.lit(False).alias("mark"))
+        run = lambda t: F.struct(F.element_at(t, 1)["line"].alias("first"), F.element_at(t, -1)["line"].alias("last"), F.flatten(F.transform(t, lambda p: p["words"])).alias("words"))
+        marked = lambda k: F.when(F.exists(F.slice(s, 1, k), lambda p: p["mark"]), run(F.slice(s, 1, k)))
+        return _let(F.aggregate(s, none, more), lambda end: F.when(end["mark"], F.filter(F.transform(F.sequence(F.lit(1), end["k"]), marked), lambda r: r.isNotNull())))
+
+    def of(pieces: Column) -> Column:
+        near = lambda s: F.when(F.exists(s, lambda p: p["mark"]), grown(s))
+        starts = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: _let(F.slice(pieces, i, LONGEST), near))
+        return F.flatten(F.filter(starts, lambda r: r.isNotNull()))
+
+    long = F.filter(F.transform(lines, lambda ws, i: F.struct(i.alias("first"), i.alias("last"), ws.alias("words"))), lambda r: (F.size(r["words"]) > LONGEST) & F.arrays_overlap(r["words"], wanted))
+    return F.concat(_let(F.flatten(F.transform(lines, cut)), of), long)
+
+
+def _disjoint(found: Column) -> Column:
+    """How many of the runs found share no line with another of their family, at most."""
+
+    def step(acc: Column, r: Column) -> Column:
+        free = (r["family"] != acc["family"]) | (r["first"] > acc["last"])
+        return F.when(free, F.struct(r["family"].alias("family"), r["last"].alias("last"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+
+    by_end = F.array_sort(F.transform(found, lambda j: F.struct(j["family"].alias("family"), j["last"].alias("last"), j["first"].alias("first"))))
+    none = F.struct(F.lit("").alias("family"), F.lit(-1).alias("last"), F.lit(0).alias("n"))
+    return F.aggregate(by_end, none, step, lambda acc: acc["n"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.7) -> DataFrame:
-    """One row per row of docs: doc_id, licence (its families, comma-separated, or null), n_paragraphs, probability (the highest)."""
-    marks = "(?i)" + "|".join(MARKS)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.when(text.rlike(marks), F.filter(F.split(text, "\n"), lambda p: p.rlike(marks))).otherwise(F.array().cast("array<string>"))
-    judged = F.filter(F.transform(lines, lambda p: _judged(p, confirm)), lambda j: j["family"] != UNKNOWN)
-    rows = docs.select(docs[id_col].alias("doc_id"), judged.alias("found"))
+    """One row per row of docs: doc_id, licence (its families, comma-separated, or null), n_paragraphs (disjoint runs found), probability (the highest)."""
+    any_mark = f"(?<![a-z0-9])(?:{'|'.join(marks(confirm))})(?![a-z0-9])"
+    wanted = F.array(*map(F.lit, marks(confirm)))
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    words = F.transform(F.split(text, _BREAK), lambda p: F.filter(F.split(p, _NO_WORD), lambda w: w != ""))
+
+    def named(r: Column) -> Column:
+        place = [r["first"].alias("first"), r["last"].alias("last")]
+        return _let(_judged(r["words"], confirm), lambda j: F.struct(j["family"].alias("family"), j["probability"].alias("probability"), *place))
+
+    judged = F.filter(F.transform(_let(words, lambda lines: _runs(lines, wanted)), named), lambda j: j["family"] != UNKNOWN)
+    nothing = F.array().cast("array<struct<family: string, probability: double, first: int, last: int>>")
+    rows = docs.select(docs[id_col].alias("doc_id"), F.when(text.rlike(any_mark), judged).otherwise(nothing).alias("found"))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda j: j["family"]))), ",")
     return rows.select(
         "doc_id",
         F.when(F.size("found") > 0, names).alias("licence"),
-        F.size("found").cast("long").alias("n_paragraphs"),
+        _disjoint(F.col("found")).cast("long").alias("n_paragraphs"),
         F.round(F.array_max(F.transform("found", lambda j: j["probability"])), 6).alias("probability"),
     )

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -194,6 +195,65 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+#: Notices in their standard wording and wrapping.
+WRAPPED = {
+    "mit": '''MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.''',
+    "bsd": ''' * Copyright (c) 2021, Jane Doe
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.''',
+    "gpl": '''# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.''',
+    "mpl": '''// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at http://mozilla.org/MPL/2.0/.''',
+    "apache": '''Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0''',
+}
+
+
+def test_licences_wrapped(spark):
+    prose = " ".join(licences.PROSE)
+    texts, want = [], []
+    for family, notice in WRAPPED.items():
+        one_line = " ".join(notice.split())
+        narrow = "\n".join(textwrap.wrap(one_line, 24))
+        forms = [notice, notice.replace("\n", "\r\n"), f"{prose}\n\n{notice}\n\n{prose}", f"{prose}\n{notice}\n{prose}", one_line, narrow, f"{prose} {one_line} {prose}"]
+        texts += forms
+        want += [family] * len(forms)
+    got = {r.doc_id: r for r in licences.scan(_docs(spark, [*texts, prose, "\n".join(textwrap.wrap(prose, 60))])).collect()}
+    assert [(i // 7, i % 7, got[i].licence) for i in range(len(texts))] == [(i // 7, i % 7, w) for i, w in enumerate(want)]
+    assert got[len(texts)].licence is None and got[len(texts) + 1].licence is None
+    assert got[0].n_paragraphs == 1
+    two = "\n".join([licences.TEMPLATES["mit"][0], licences.TEMPLATES["mit"][0], licences.TEMPLATES["reserved"][0]])
+    rows = licences.scan(_docs(spark, [two])).collect()
+    assert (rows[0].licence, rows[0].n_paragraphs) == ("mit,reserved", 3)
+
+
 def test_url_rules_and_trees(spark):
     rules = [urlfilter.rule("block", "com/en/"), urlfilter.rule("allow", "example.com/en/7")]
     urls = ["http://A.Example.COM/en/7x?q", "https://b.com/en/", "x.com/en/", None, "", "http://notexample.comx/en/7", "http://casino-bets.org/p", "http://river.org", "http://h?x://y/"]
