@@ -4,8 +4,10 @@ Texts are sequences of words. For each benchmark item, windows of the item's siz
 over every document. The CGK random walk maps a window of n words to a string of 3n
 words such that few word edits change few of its places; a table of the index samples
 some of the first 2n places, and item and window meet where all of them agree. The number of
-tables follows from the collision rate of simulated edits at the allowed distance, so
-that a window within it is found with the target probability. Every candidate is then
+tables is the least for which simulated items at the allowed distance are found with the
+target probability, each with the collision rate of its own pair: pairs that rarely meet
+decide. Edits are spread over the item, or all lie at its start or in one run, and each
+of these kinds must reach the target. Every candidate is then
 verified by exact word edit distance: at most `edits` times the item's words.
 
 An edit touches two pairs of neighbouring words at most, so a window within k edits of an
@@ -35,6 +37,8 @@ from .bitmaps import drop_ids
 from .common import in_slices, mix, word_hashes
 
 EDITS, RECALL, SAMPLED, BLOCK, LEAST_WORDS = 0.2, 0.99, 3, 20_000, 5
+#: Where simulated edits lie.
+KINDS = ("spread", "start", "run", "substitutions spread", "substitutions at the start", "substitutions in a run")
 _PAD = np.uint64(0)
 
 
@@ -103,8 +107,7 @@ class Index:
         for n, members in sorted(by_size.items()):
             # Word pairs that a window must share with the items: the lowest bound in the class.
             self.need[n] = n - 1 - 2 * max(self.allowed(len(self.items[k][1])) for k in members)
-            rate = self._collisions(n, [self.items[k][1] for k in members], sampled, rng)
-            count = min(max(math.ceil(math.log(1 - recall) / math.log(1 - rate)), 4), 400)
+            count = self._count(self._rates(n, [self.items[k][1] for k in members], sampled, rng), recall)
             tables = []
             for t in range(count):
                 places = np.sort(rng.choice(2 * n, size=min(sampled, 2 * n), replace=False))
@@ -132,30 +135,55 @@ class Index:
     def _fit(words: np.ndarray, n: int) -> np.ndarray:
         return words[:n] if len(words) >= n else np.concatenate([words, np.full(n - len(words), _PAD)])
 
-    def _collisions(self, n: int, items: list[np.ndarray], sampled: int, rng, trials: int = 400) -> float:
-        """How often one table joins an item and a copy of it with as many random edits as are allowed."""
+    @staticmethod
+    def _count(rates: np.ndarray, recall: float) -> int:
+        """The least number of tables, 4 at least, for which every row of rates (a kind of edits) has the mean recall."""
+        reached = lambda count: (1 - (1 - rates) ** count).mean(axis=1).min() >= recall
+        high = 4
+        while not reached(high):
+            high *= 2
+        low = 4 if high == 4 else high // 2 + 1
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if reached(middle) else (middle + 1, high)
+        return high
+
+    def edited(self, words: np.ndarray, kind: str, rng) -> np.ndarray:
+        """A copy with as many random edits as are allowed, of all three sorts or substitutions alone."""
+        out, most = words.tolist(), self.allowed(len(words))
+        first = int(rng.integers(max(len(words) - most, 0) + 1)) if kind.endswith("run") else 0
+        if kind.startswith("substitutions"):
+            for at in rng.permutation(len(words))[:most].tolist() if kind.endswith("spread") else range(first, first + most):
+                out[at] = int(rng.integers(1, 2**63))
+            return np.array(out, np.uint64)
+        for k in range(most):
+            at = int(rng.integers(len(out))) if kind == "spread" else min(first + k, len(out) - 1)
+            what, new = int(rng.integers(3)), int(rng.integers(1, 2**63))
+            if what == 0 or len(out) < 2:
+                out[at] = new
+            elif what == 1:
+                out.insert(at, new)
+            else:
+                del out[at]
+        return np.array(out, np.uint64)
+
+    def _rates(self, n: int, items: list[np.ndarray], sampled: int, rng, trials: int = 300, seeds: int = 48) -> np.ndarray:
+        """How often one table joins an item and an edited copy of it: a row for each kind of edits, a column for each pair."""
         a, b = [], []
-        for _ in range(trials):
-            words = items[int(rng.integers(len(items)))]
-            edited = words.tolist()
-            for _ in range(self.allowed(len(words))):
-                kind, at = int(rng.integers(3)), int(rng.integers(len(edited)))
-                new = int(rng.integers(1, 2**63))
-                if kind == 0:
-                    edited[at] = new
-                elif kind == 1:
-                    edited.insert(at, new)
-                elif len(edited) > 1:
-                    del edited[at]
-            a.append(self._fit(words, n))
-            b.append(self._fit(np.array(edited + rng.integers(1, 2**63, 4).tolist(), np.uint64), n))
-        places = np.arange(2 * n)
-        rates = []
-        for seed in range(8):
-            same = embed(np.stack(a), seed, places) == embed(np.stack(b), seed, places)
-            pick = rng.choice(2 * n, size=min(sampled, 2 * n), replace=False)
-            rates.append(same[:, pick].all(axis=1).mean())
-        return float(np.clip(np.mean(rates), 0.02, 0.9))
+        for kind in KINDS:
+            for _ in range(trials):
+                words = items[int(rng.integers(len(items)))]
+                a.append(self._fit(words, n))
+                after = rng.integers(1, 2**63, n).astype(np.uint64)
+                b.append(self._fit(np.concatenate([self.edited(words, kind, rng), after]), n))
+        a, b, places, take = np.stack(a), np.stack(b), np.arange(2 * n), min(sampled, 2 * n)
+        total = np.zeros(len(a))
+        for seed in range(seeds):
+            same = (embed(a, seed, places) == embed(b, seed, places)).sum(axis=1)
+            # All choices of places at once: the share of them whose places all agree.
+            total += np.prod([np.maximum(same - i, 0) / (2 * n - i) for i in range(take)], axis=0)
+        # A pair that never met counts as one that may have met once in twice as many choices of seeds.
+        return np.maximum(total / seeds, 1 / (2 * seeds * math.comb(2 * n, take))).reshape(len(KINDS), trials)
 
     def find(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
         """For each word sequence, (item id, first word, distance) of the best window of each item that occurs."""

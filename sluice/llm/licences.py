@@ -89,7 +89,7 @@ PROSE = [
     "They may redistribute the food to any person in the house.",
 ]
 #: Frequent words, which `marks` takes last. They decide how many runs are looked at, not the result.
-COMMON = set("a all and any as at be by can code copy deal except file files for form forms free following found general in is it later may not of only or person program provided public published released software source style subject terms that the this to under use v version via with without work you".split())
+COMMON = set("a all and any are as at be by can code copy deal except file files for form forms free following found general in is it later may not of only or person program provided public published released software source style subject terms that the this to under use v version via with without work you".split())
 PIECE = 12
 UNKNOWN = "unknown"
 FAMILIES = sorted(TEMPLATES)

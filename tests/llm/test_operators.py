@@ -150,6 +150,21 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [12, 20, 30])
+def test_decontamination_recall_at_the_limit(n):
+    rng = np.random.default_rng(n)
+    items = [(i, rng.integers(1, 2**63, n).astype(np.uint64)) for i in range(60)]
+    index = decontaminate.Index(items)
+    for kind in decontaminate.KINDS:
+        texts, want = [], []
+        for i, words in items * 5:
+            text = np.concatenate([index.edited(words, kind, rng), rng.integers(1, 2**63, 60).astype(np.uint64)])
+            if decontaminate.edit_distance(words.tolist(), text[:n].tolist(), index.allowed(n)) <= index.allowed(n):
+                texts.append(text), want.append(i)
+        found = sum(any(hit[0] == i for hit in hits) for hits, i in zip(index.find(texts), want, strict=True))
+        assert found >= 0.985 * len(want), (kind, found, len(want))
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(7)
     words = [f"plain{i}" for i in range(400)]
