@@ -39,10 +39,16 @@ def in_bitmap(df: DataFrame, key: Column, pages: DataFrame, bits: int, name: str
     return df.join(small, F.floor(slot / PAGE) == F.col(page), "left").withColumn(name, bit).drop(page, cell)
 
 
-def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", bits: int = BITS) -> DataFrame:
-    """docs without the rows whose id is in column k of gone. Only rows whose bit is set are shuffled."""
-    maybe, other = free_name(docs, "maybe_gone", "gone_id")
-    gone = stored(gone.select(F.col("k").cast("long").alias("k")).distinct(), "gone")
-    marked = in_bitmap(docs, F.col(id_col).cast("long"), bitmap(gone, bits), bits, maybe)
-    left = marked.filter(F.col(maybe)).join(gone.withColumnRenamed("k", other), F.col(id_col).eqNullSafe(F.col(other)), "left_anti")
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Tells documents apart by id and text, as ids may be null or repeated; null texts count as empty."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary")))
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """docs without the rows whose row_key is in column k of gone. Only rows whose bit is set are shuffled."""
+    maybe, other = free_name(docs, "maybe_gone", "gone_key")
+    key = row_key(F.col(id_col), F.col(text_col))
+    gone = stored(gone.select("k").distinct(), "gone")
+    marked = in_bitmap(docs, key, bitmap(gone, bits), bits, maybe)
+    left = marked.filter(F.col(maybe)).join(gone.withColumnRenamed("k", other), key == F.col(other), "left_anti")
     return marked.filter(~F.col(maybe)).unionByName(left).select(*docs.columns)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import drop_ids
+from .bitmaps import drop_rows, row_key
 from .common import in_slices, mix, word_hashes
 
 EDITS, RECALL, SAMPLED, BLOCK, LEAST_WORDS = 0.2, 0.99, 3, 20_000, 5
@@ -199,6 +199,7 @@ class Index:
         known = np.concatenate([[0], np.cumsum(self.pairs[at] == pairs)])
         for n, tables in self.tables.items():
             starts = np.flatnonzero(known[n - 1 :] - known[: len(known) - n + 1] >= self.need[n])
+            starts = starts[flat[starts] != _PAD]  # one in the gap before a text would count for the text before it
             for lot in range(0, len(starts), 20_000):
                 self._lot(flat, n, starts[lot : lot + 20_000], tables, begin, best)
         return [[(self.items[k][0], start, d) for k, (d, start) in sorted(x.items())] for x in best]
@@ -225,9 +226,15 @@ class Index:
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, **options) -> DataFrame:
     """One row per document and item that occurs in it: doc_id, item_id, first_word, edits."""
-    spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    schema = "doc_id long, item_id long, first_word long, edits long"
+    return _matches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), benchmark, item_col, item_text, block, **options)
+
+
+def _matches(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, **options) -> DataFrame:
+    """As matches, for rows of a key (of type long or binary) and a text."""
+    spark = rows.sparkSession
+    name, kind = rows.dtypes[0]
+    types = [pa.binary() if kind == "binary" else pa.int64(), *[pa.int64()] * 3]
+    schema = f"{name} {'binary' if kind == 'binary' else 'long'}, item_id long, first_word long, edits long"
     found, held = [], []
 
     def search(index):
@@ -238,7 +245,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                     hits = index.value.find([word_hashes(t) for t in texts[a:b]])
                     out += [(key, *hit) for key, found_ in zip(ids[a:b], hits, strict=True) for hit in found_]
                 cols = list(zip(*out, strict=True)) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "first_word", "edits"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[name, "item_id", "first_word", "edits"])
 
         return rows.mapInArrow(run, schema)
 
@@ -265,5 +272,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that hold a benchmark item, all columns."""
-    found = matches(docs, benchmark, id_col, text_col, **options)
-    return drop_ids(docs, found.select(F.col("doc_id").alias("k")), id_col)
+    rows = docs.select(row_key(docs[id_col], docs[text_col]).alias("k"), docs[text_col].alias("text"))
+    return drop_rows(docs, _matches(rows, benchmark, **options).select("k"), id_col, text_col)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bitmaps import BITS, bitmap, drop_ids, in_bitmap
+from .bitmaps import BITS, bitmap, drop_rows, in_bitmap, row_key
 from .common import mix, shingle_hashes, stored, word_hashes
 
 DF_BITS, SLICES, BANDS, ROWS, SHINGLE, THRESHOLD, HUBS = 20, 32, 12, 4, 5, 0.8, 32
@@ -183,7 +183,7 @@ def merged(labels: DataFrame, edges: DataFrame, src: str = "a", dst: str = "b")
 
 
 def _signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (hash of the words, null if none) and the buckets of its bands."""
+    """doc_id, row (its key), node (hash of the words, null if none) and the buckets of its bands."""
 
     def run(batches):
         sampler, table = Sampler(bands * rows), idf.value
@@ -193,9 +193,10 @@ def _signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
             got = iter(sampler.sample(sets).reshape(-1, bands, rows))
             nodes = [xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None for w in words]
             keys = [[xxhash.xxh3_64_intdigest(r.tobytes(), seed=b) - (1 << 63) for b, r in enumerate(next(got))] if len(w) else None for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, node binary, keys array<long>")
+    keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row"))
+    return keyed.mapInArrow(run, "doc_id long, row binary, node binary, keys array<long>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, idf, threshold: float, per_task: int = 512) -> DataFrame:
@@ -244,18 +245,27 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(same.select("node", "words").dropDuplicates(["node"]), "sets")
 
 
+#: Orders documents so that the one to stay is the least: by id, null ids last, then by key.
+_OLDEST = "struct(doc_id is null as missing, doc_id, row)"
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the class's smallest doc_id), n_links, kept.
 
     n_links counts the verified links of the document's text; copies of it are not links.
     """
+    return _classes(docs, id_col, text_col, threshold, bands, rows).drop("row")
+
+
+def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """As classes, with the key of each row."""
     spark: SparkSession = docs.sparkSession
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     table, _ = document_frequencies(base.select("text"))
     idf = spark.sparkContext.broadcast(table)
     marked = stored(_signatures(base, idf, bands, rows), "signatures")
     nodes = stored(
-        marked.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "nodes"
+        marked.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.expr(_OLDEST)).alias("oldest"), F.first("keys").alias("keys")), "nodes"
     )
     placed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
@@ -293,17 +303,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         hubs *= 4
 
     degree = edges.select("hub", "a").union(edges.select("a", "hub")).distinct().groupBy(F.col("hub").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    node_class = nodes.select("node", "doc_id").join(labels, "node", "left").join(degree, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    node_class = nodes.select("node", "doc_id", "oldest").join(labels, "node", "left").join(degree, "node", "left").select("node", "doc_id", "oldest", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     node_class = stored(node_class, "classes")
-    smallest = node_class.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    node_class = stored(node_class.join(smallest, "label").select(F.col("node").alias("of"), "class_id", "n_links"), "classes")
+    smallest = node_class.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min("oldest").alias("oldest"))
+    node_class = stored(node_class.drop("oldest").join(smallest, "label").select(F.col("node").alias("of"), "class_id", F.col("oldest")["row"].alias("stays"), "n_links"), "classes")
     own = F.coalesce(F.col("node"), F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
-    found = marked.select("doc_id", own.alias("node")).join(node_class, F.col("node") == F.col("of"), "left")
+    found = marked.select("doc_id", "row", own.alias("node")).join(node_class, F.col("node") == F.col("of"), "left")
     class_id = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return found.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    kept = F.col("of").isNull() | (F.col("row") == F.col("stays"))
+    return found.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"), "row")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each class, all columns."""
-    gone = classes(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("k"))
-    return drop_ids(docs, gone, id_col)
+    gone = _classes(docs, id_col, text_col, **options).filter("not kept").select(F.col("row").alias("k"))
+    return drop_rows(docs, gone, id_col, text_col)
