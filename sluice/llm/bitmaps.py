@@ -52,3 +52,11 @@ def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col
     marked = in_bitmap(docs, key, bitmap(gone, bits), bits, maybe)
     left = marked.filter(F.col(maybe)).join(gone.withColumnRenamed("k", other), key == F.col(other), "left_anti")
     return marked.filter(~F.col(maybe)).unionByName(left).select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """docs with one of the rows that share a row_key in column k of repeated. Only rows whose bit is set are shuffled."""
+    maybe, key = free_name(docs, "maybe_again", "again_key")
+    marked = in_bitmap(docs, row_key(F.col(id_col), F.col(text_col)), bitmap(repeated, bits), bits, maybe)
+    once = marked.filter(F.col(maybe)).withColumn(key, row_key(F.col(id_col), F.col(text_col))).dropDuplicates([key])
+    return marked.filter(~F.col(maybe)).select(*docs.columns).unionByName(once.select(*docs.columns))

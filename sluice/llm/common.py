@@ -6,13 +6,14 @@ import re
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WORD = re.compile(r"\w+")
 _SPACE_BY_SPACE = re.compile(r" \s|\s |^ | $")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -40,14 +41,37 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch.get() is not None:
+        _scratch.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is stored inside is deleted at the end, but for the tables appended to what this gives."""
+    paths, kept = [], []
+    token = _scratch.set(paths)
+    try:
+        yield kept
+    finally:
+        _scratch.reset(token)
+        files = [f for df in kept for f in df.inputFiles()]
+        for path in paths:
+            if not any(path.rpartition("/")[2] in f for f in files):
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            elif _scratch.get() is not None:
+                _scratch.get().append(path)
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that clash with no column of df, whatever its extra columns."""
     taken = {c.lower() for c in df.columns}
@@ -69,32 +93,79 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 
 
-class PieceCache(dict):
-    """White-space separated piece -> bytes of its words' 64-bit hashes, little endian.
+_wordy: np.ndarray | None = None
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(1 << 14, _BASE, np.uint64), dtype=np.uint64)
+
+
+def _word_table() -> np.ndarray:
+    """Which code points are letters, digits or underscores; made once in a worker process."""
+    global _wordy
+    if _wordy is None:
+        _wordy = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+        _wordy[ord("_")] = True
+    return _wordy
 
-    A word is a run of letters, digits or underscores of the lower-cased text. The
-    cache is emptied when full, which bounds a worker's memory.
-    """
 
-    limit = 300_000
+def _hashed(points: np.ndarray, wordy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first places and the hashes of the words among code points."""
+    edge = np.flatnonzero(np.diff(wordy, prepend=False, append=False))
+    begin, size = edge[0::2], edge[1::2] - edge[0::2]
+    if not len(begin):
+        return begin, np.empty(0, np.uint64)
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    parts = (points[wordy].astype(np.uint64) + np.uint64(1)) * _POWERS[place & (len(_POWERS) - 1)]
+    return begin, mix(np.add.reduceat(parts, first) ^ size.astype(np.uint64))
 
-    def __missing__(self, piece: str) -> bytes:
-        words = _WORD.findall(piece.lower())
-        value = b"".join(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for w in words)
-        if len(self) >= self.limit:
-            self.clear()
-        self[piece if len(piece) < 200 else piece[:0] + piece] = value
-        return value
 
+def word_hashes_of(texts: list[str | None], together: int = 1_000_000) -> list[np.ndarray]:
+    """The 64-bit hashes of all words of each text, in order; null counts as empty.
 
-_pieces = PieceCache()
+    A word is a run of letters, digits or underscores of the lower-cased text. Texts are
+    hashed many at a time and long ones part by part, cut where no word is, so memory
+    holds the arrays of about `together` characters (or of the longest word).
+    """
+    out: list[np.ndarray] = []
+    for a, b in in_slices(texts, together):
+        lowered = [(t or "").lower() for t in texts[a:b]]
+        whole, at, begins, found = "\n".join(lowered), 0, [], []
+        while at < len(whole):
+            size = together * 2
+            while True:
+                points = np.frombuffer(whole[at : at + size].encode("utf-32-le", "surrogatepass"), "<u4")
+                wordy = _word_table()[points]
+                if at + size >= len(whole) or not wordy.all():
+                    break
+                size *= 2  # a word that is longer than the part
+            if at + size < len(whole):  # up to the last place that is in no word
+                size = len(wordy) - int(np.argmin(wordy[::-1]))
+                points, wordy = points[:size], wordy[:size]
+            begin, hashes = _hashed(points, wordy)
+            begins.append(begin + at)
+            found.append(hashes)
+            at += size
+        hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
+        cuts = np.searchsorted(np.concatenate(begins) if begins else np.empty(0, np.int64), np.cumsum([len(t) + 1 for t in lowered])).tolist()
+        out += [hashes[x:y] for x, y in zip([0, *cuts], cuts, strict=False)]
+    return out
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """The hashes of all words of a text, in order."""
-    if not text:
-        return np.empty(0, np.uint64)
-    return np.frombuffer(b"".join(map(_pieces.__getitem__, text.split())), dtype="<u8")
+    """The hashes of all words of one text."""
+    return word_hashes_of([text])[0]
+
+
+def lots(batches, column: int, size: int = 1_000_000):
+    """Arrow batches cut so that the texts of a column come to about `size` bytes in each."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            held = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, held + size, "right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -126,19 +197,25 @@ class IdEncoder:
     kept: both supported kinds of vocabulary cut texts there in any case, so the ids are
     those of the whole text. Any other text goes through a slower split that keeps runs
     of white space whole. New pieces are encoded many at a time, joined by a mark that
-    always is a token of its own. The cache has two generations of up to `limit` pieces:
+    always is a token of its own. The cache has two generations of up to `most` bytes:
     when the younger one is full it becomes the older, whose pieces return when used.
+    Strings of special tokens in a text are those tokens, as the library has it by
+    default; with `ordinary` they are text like any other.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    #: Bytes that an entry takes besides its piece and ids, at the least.
+    ENTRY = 200
+
+    def __init__(self, path: str, ordinary: bool = False, most: int = 80_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.limit = limit
+        self.tokenizer.encode_special_tokens = ordinary
+        self.special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.most, self.held = most, 0
         # A vocabulary with word ends drops white space; a byte-level one joins it to the next word.
         self.drops_space = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
         self.mark = " \x01 " if self.drops_space else "\n"
@@ -164,7 +241,8 @@ class IdEncoder:
         plain, odd = [], []
         for piece in pieces:
             p = self._text(piece)
-            (odd if mark in p or not p or p[-1].isspace() or p[:1].isspace() and p[:1] != " " else plain).append(piece)
+            alone = mark in p or not p or p[-1].isspace() or p[:1].isspace() and p[:1] != " " or any(x in p for x in self.special)
+            (odd if alone else plain).append(piece)
         runs = [plain[i : i + together] for i in range(0, len(plain), together)]
         for run, ids in zip(runs, self._encode([self.mark.join(map(self._text, r)) for r in runs]), strict=True):
             cuts = np.flatnonzero(ids == self.mark_id)
@@ -173,37 +251,43 @@ class IdEncoder:
                 continue
             flat, at = ids.tobytes(), 0
             for piece, cut in zip(run, [*cuts.tolist(), len(ids)], strict=True):
-                self.cache[piece] = flat[4 * at : 4 * cut]
+                self._keep(piece, flat[4 * at : 4 * cut])
                 at = cut + 1
         for start in range(0, len(odd), 1000):
             for piece, ids in zip(odd[start : start + 1000], self._encode([self._text(p) for p in odd[start : start + 1000]]), strict=True):
-                self.cache[piece] = ids.tobytes()
+                self._keep(piece, ids.tobytes())
+
+    def _keep(self, piece: str | tuple, ids: bytes) -> None:
+        self.cache[piece] = ids
+        self.held += self.ENTRY + len(self._text(piece)) + len(ids)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers; null counts as empty."""
         split = [self.split(t) if t else [] for t in texts]
         missing = list(set().union(*split).difference(self.cache))
         if missing:
-            if len(self.cache) + len(missing) > self.limit:
-                self.older, self.cache = self.cache, {}
+            if self.held > self.most:  # what a call adds is bounded by the length of its texts
+                self.older, self.cache, self.held = self.cache, {}, 0
                 missing = list(set().union(*split))
             if self.older:
-                again = [p for p in missing if p in self.older]
-                self.cache.update((p, self.older[p]) for p in again)
+                for p in missing:
+                    if p in self.older:
+                        self._keep(p, self.older[p])
                 missing = [p for p in missing if p not in self.cache]
             self._learn(missing)
         take = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(take, pieces)), dtype="<u4") for pieces in split]
 
 
-_encoders: dict[str, IdEncoder] = {}
+_encoders: dict[tuple, IdEncoder] = {}
 
 
-def encoder(path: str) -> IdEncoder:
-    """One encoder for each vocabulary and worker process, so that its cache serves later tasks."""
-    if path not in _encoders:
-        _encoders[path] = IdEncoder(path)
-    return _encoders[path]
+def encoder(path: str, ordinary: bool = False) -> IdEncoder:
+    """The worker process's encoder, whose cache serves later tasks; one for another vocabulary takes its place."""
+    if (path, ordinary) not in _encoders:
+        _encoders.clear()
+        _encoders[path, ordinary] = IdEncoder(path, ordinary)
+    return _encoders[path, ordinary]
 
 
 def in_slices(texts: list, chars: int = 2_000_000):

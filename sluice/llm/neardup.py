@@ -8,16 +8,25 @@ cost nothing later.
 
 Improved consistent weighted sampling draws `bands * rows` samples of each node; two
 nodes agree in a sample with the probability of their weighted Jaccard similarity. Nodes
-that agree in all rows of a band share a bucket. In each bucket nodes are compared with
-few hubs at a time, never all with all at once; the comparison is the exact weighted
-Jaccard similarity over whole texts. Rounds go on until no bucket holds two nodes of
-different classes that have not been compared, so no link between bucket mates is lost.
-With 12 bands of 4 rows a pair of similarity 0.8 shares a bucket with probability 0.998,
-one of 0.9 with 0.99999. Classes are the connected components of the verified links.
+that agree in all rows of a band share a bucket. With 12 bands of 4 rows a pair of
+similarity 0.8 shares a bucket with probability 0.998, one of 0.9 with 0.99999. Links are
+bucket mates whose exact weighted Jaccard similarity over whole texts reaches the
+threshold, and classes are the connected components of the links.
+
+Two rounds find the components of all links without comparing all pairs. First every
+node is compared with the hub of each of its buckets, the member that shares most
+buckets with others. Where a bucket then still holds several classes, the nodes outside
+its largest class are compared with all of its nodes; what the largest class holds is
+joined already. Nodes are compared in units of two bounded groups, by an index of the
+shingles of the one, and of a unit only as many links are given as join its nodes. So a
+bucket of n nodes, r of them outside its largest class, moves about 2 n r / `SPAN` rows
+(with groups of at most the square root of n beyond that), at most, and the largest unit
+grows with the square root of the bucket. No pair is capped or passed over.
 
 Texts without words are classes of their own, each. Texts of fewer than five words have
 one shingle, the whole text. Null texts count as empty, null ids are carried; rows that
-repeat an id and text share a class. An empty table gives an empty result.
+repeat an id and text share a class, and one of them stays. An empty table gives an
+empty result; extra columns are kept by `deduplicate` and ignored by `classes`.
 """
 
 from __future__ import annotations
@@ -25,13 +34,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitmaps import BITS, bitmap, drop_rows, in_bitmap, row_key
-from .common import mix, shingle_hashes, stored, word_hashes
+from .bitmaps import BITS, bitmap, drop_rows, in_bitmap, keep_one, row_key
+from .common import lots, mix, scratch, shingle_hashes, stored, word_hashes, word_hashes_of
 
-DF_BITS, SLICES, BANDS, ROWS, SHINGLE, THRESHOLD, HUBS = 20, 32, 12, 4, 5, 0.8, 32
+DF_BITS, SLICES, BANDS, ROWS, SHINGLE, THRESHOLD, SPAN = 20, 32, 12, 4, 5, 0.8, 100
 _TABLE = 1 << 16
 
 
@@ -85,6 +94,10 @@ def words32(text: str | None) -> np.ndarray:
     return word_hashes(text).astype(np.uint32)
 
 
+def _words32_of(column: pa.Array) -> list[np.ndarray]:
+    return [w.astype(np.uint32) for w in word_hashes_of(column.to_pylist())]
+
+
 def weighted(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of a word sequence, and their weights."""
     size = min(SHINGLE, len(words))
@@ -113,9 +126,9 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches):
         cells, n = np.zeros(1 << DF_BITS, np.int64), 0
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                cells[np.unique(words32(t) & np.uint32((1 << DF_BITS) - 1)).astype(np.int64)] += 1
+        for batch in lots(batches, 0):
+            for words in _words32_of(batch.column(0)):
+                cells[np.unique(words & np.uint32((1 << DF_BITS) - 1)).astype(np.int64)] += 1
                 n += 1
         parts = np.split(cells.astype("<i8"), SLICES)
         yield pa.RecordBatch.from_arrays(
@@ -187,8 +200,8 @@ def _signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         sampler, table = Sampler(bands * rows), idf.value
-        for batch in batches:
-            words = [words32(t) for t in batch.column(1).to_pylist()]
+        for batch in lots(batches, 1):
+            words = _words32_of(batch.column(1))
             sets = [weighted(w, table) for w in words if len(w)]
             got = iter(sampler.sample(sets).reshape(-1, bands, rows))
             nodes = [xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None for w in words]
@@ -199,33 +212,77 @@ def _signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, row binary, node binary, keys array<long>")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, idf, threshold: float, per_task: int = 512) -> DataFrame:
-    """The pairs (hub, a) whose similarity reaches the threshold.
+class Group:
+    """Weighted sets, indexed by shingle, to find those similar to another set."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        shingles = np.concatenate([s[0] for s in sets])
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.weights = shingles[order], np.concatenate([s[1] for s in sets])[order]
+        self.owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])[order]
+        self.totals = np.array([s[1].sum() for s in sets])
+
+    def similar(self, x: tuple[np.ndarray, np.ndarray], threshold: float) -> list[int]:
+        """Places of the sets whose weighted Jaccard similarity with x reaches the threshold."""
+        low = np.searchsorted(self.shingles, x[0])
+        many = np.searchsorted(self.shingles, x[0], "right") - low
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        both = np.bincount(self.owner[at], np.minimum(self.weights[at], np.repeat(x[1], many)), minlength=len(self.totals))
+        return np.flatnonzero(both >= threshold * (self.totals + x[1].sum() - both)).tolist()
+
 
-    A hub's words go once to each run of about `per_task` of its pairs, the words of the
-    other side once for each pair, and both are compared as a sorted stream.
+def _joining(links: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """As few of the links as join what all of them join."""
+    top: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for a, b in links:
+        x, y = find(a), find(b)
+        if x != y:
+            top[y] = x
+            out.append((a, b))
+    return out
+
+
+def _compare(units: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) that join the similar nodes of each unit.
+
+    units: unit (long), side, node. The nodes of side 0 are indexed, those of side 1 are
+    compared with them in a sorted stream; a task holds one unit's side 0.
     """
-    spark = pairs.sparkSession
-    load = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("runs"))
-    hubs = sets.join(load, F.col("node") == F.col("hub")).select("hub", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("binary").alias("a"), "words")
-    members = pairs.join(load, "hub").withColumn("run", F.pmod(F.xxhash64("a"), F.col("runs").cast("long")).cast("int"))
-    members = sets.join(members, F.col("node") == F.col("a")).select("hub", "run", "a", "words")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stream = hubs.union(members).repartition(n, "hub", "run").sortWithinPartitions("hub", "run", F.col("a").asc_nulls_first())
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stream = units.join(sets, "node").select("unit", "side", "node", "words").repartition(n, "unit").sortWithinPartitions("unit", "side", "node")
 
     def run(batches):
-        at, hub_set = None, None
+        at, group, names, held, links = None, None, [], [], []
         for batch in batches:
-            hubs_, others = [], []
-            for hub, r, a, words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            out = []
+            for unit, side, node, words in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if unit != at:
+                    out += _joining(links)
+                    at, group, names, held, links = unit, None, [], [], []
                 got = weighted(np.frombuffer(words, "<u4"), idf.value)
-                if a is None:
-                    at, hub_set = (hub, r), got
-                elif at == (hub, r) and similarity(hub_set, got) >= threshold:
-                    hubs_.append(hub), others.append(a)
-            yield pa.RecordBatch.from_arrays([pa.array(hubs_, pa.binary()), pa.array(others, pa.binary())], names=["hub", "a"])
+                if side == 0:
+                    names.append(node), held.append(got)
+                elif held:
+                    group = group or Group(held)
+                    links += [(names[k], node) for k in group.similar(got, threshold) if names[k] != node]
+                    if len(links) > 4 * len(names) + 1000:
+                        links = _joining(links)
+            yield _edges(out)
+        yield _edges(_joining(links))
+
+    return stream.mapInArrow(run, "a binary, b binary")
+
 
-    return stream.mapInArrow(run, "hub binary, a binary")
+def _edges(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -233,8 +290,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     some = in_bitmap(docs, F.col("doc_id"), bitmap(wanted.select(F.col("doc_id").alias("k"))), BITS, "maybe").filter("maybe").select("doc_id", "text")
 
     def run(batches):
-        for batch in batches:
-            words = [words32(t) for t in batch.column(1).to_pylist()]
+        for batch in lots(batches, 1):
+            words = _words32_of(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([xxhash.xxh3_128_digest(w.tobytes()) if len(w) else None for w in words], pa.binary()), pa.array([w.tobytes() for w in words], pa.binary())],
                 names=["doc_id", "node", "words"],
@@ -250,15 +307,41 @@ _OLDEST = "struct(doc_id is null as missing, doc_id, row)"
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the class's smallest doc_id), n_links, kept.
-
-    n_links counts the verified links of the document's text; copies of it are not links.
-    """
+    """One row per row of docs: doc_id, class_id (the class's smallest doc_id), kept (for rows equal in id and text, together)."""
     return _classes(docs, id_col, text_col, threshold, bands, rows).drop("row")
 
 
+def _units(left: DataFrame, span: int = SPAN) -> DataFrame:
+    """left: band, key, node, label of the buckets that hold several labels. The units that compare all pairs of different labels."""
+    sizes = left.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("size"))
+    buckets = sizes.groupBy("band", "key").agg(F.sum("size").alias("n"), F.max(F.struct("size", "label")).alias("largest"))
+    within = F.greatest(F.lit(span), F.sqrt("n").cast("int"))
+    buckets = buckets.select(
+        "band", "key", F.col("largest.label").alias("main"), F.ceil(F.col("n") / within).cast("int").alias("n_all"), F.ceil((F.col("n") - F.col("largest.size")) / within).cast("int").alias("n_rest")
+    )
+    rows = left.join(buckets, ["band", "key"])
+    part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = rows.filter(F.col("label") != F.col("main")).select("band", "key", part("rest", "n_rest").alias("i"), every("n_all").alias("j"), F.lit(0).alias("side"), "node")
+    whole = rows.select("band", "key", every("n_rest").alias("i"), part("all", "n_all").alias("j"), F.lit(1).alias("side"), "node")
+    # Units are named by a hash; two that share one are compared together, which loses nothing.
+    return rest.union(whole).select(F.xxhash64("band", "key", "i", "j").alias("unit"), "side", "node")
+
+
 def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """As classes, with the key of each row."""
+    """As classes, with the key of each row. All tables on the way are deleted, but for the two that the result reads."""
+    with scratch(docs.sparkSession) as kept:
+        marked, node_class = _marked_classes(docs, id_col, text_col, threshold, bands, rows)
+        kept += [marked, node_class]
+    own = F.coalesce(F.col("node"), F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
+    found = marked.select("doc_id", "row", own.alias("node")).join(node_class, F.col("node") == F.col("of"), "left")
+    class_id = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    stays = F.col("of").isNull() | (F.col("row") == F.col("stays"))
+    return found.select("doc_id", class_id.alias("class_id"), stays.alias("kept"), "row")
+
+
+def _marked_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their nodes and keys; nodes with the class's smallest doc_id and the row that stays."""
     spark: SparkSession = docs.sparkSession
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     table, _ = document_frequencies(base.select("text"))
@@ -268,53 +351,37 @@ def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         marked.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.expr(_OLDEST)).alias("oldest"), F.first("keys").alias("keys")), "nodes"
     )
     placed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    shared = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    members = stored(placed.join(shared.select("band", "key", "hub"), ["band", "key"]), "members")
+    shared = placed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stored(placed.join(shared, ["band", "key"]), "members")
+    # The hub of a bucket is the member that shares most buckets with others.
+    central = members.groupBy("node").agg(F.sum("n").alias("near"))
+    hubs = members.join(central, "node").groupBy("band", "key").agg(F.max(F.struct("near", "node"))["node"].alias("hub"))
+    members = stored(members.join(hubs, ["band", "key"]).select("band", "key", "node", "hub"), "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id")
     sets = _sets(base, stored(wanted, "wanted"))
 
-    # First each node of a bucket against the bucket's smallest node.
-    tested = stored(members.filter("node <> hub").select("hub", F.col("node").alias("a")).distinct(), "pairs")
-    edges = stored(_verify(tested, sets, idf, threshold), "links")
-    active = members.filter("node <> hub").select("band", "key", "node")
-    labels = connected(edges, "hub", "a")
-    hubs = HUBS
-    while True:
-        # Then, where nodes of different classes are left, some of the smallest classes against all others.
-        now = active.join(labels.select("node", "label"), "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
-        mixed = now.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "key")
-        left = stored(now.join(mixed, ["band", "key"], "left_semi"), "left")
-        if left.isEmpty():
-            break
-        sizes = left.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("size"))
-        # Spark cuts a rank with an upper bound before it shuffles, so a large bucket is not sorted in one task.
-        order = Window.partitionBy("band", "key").orderBy("size", F.xxhash64("node"), "node")
-        ranked = left.join(sizes, ["band", "key", "label"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= hubs)
-        chosen = stored(ranked.select("band", "key", F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hubs")
-        pairs = left.join(chosen, ["band", "key"]).filter("label <> hub_label").select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("a")).distinct()
-        new = stored(pairs.join(tested, ["hub", "a"], "left_anti"), "pairs")
-        more = stored(_verify(new, sets, idf, threshold), "links")
-        tested = tested.union(new)
-        if not more.isEmpty():
-            edges = edges.union(more)
-            labels = merged(labels, more, "hub", "a")
-        retired = chosen.select("band", "key", F.col("hub").alias("node"))
-        active = left.join(retired, ["band", "key", "node"], "left_anti").select("band", "key", "node")
-        hubs *= 4
-
-    degree = edges.select("hub", "a").union(edges.select("a", "hub")).distinct().groupBy(F.col("hub").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    node_class = nodes.select("node", "doc_id", "oldest").join(labels, "node", "left").join(degree, "node", "left").select("node", "doc_id", "oldest", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # First each node of a bucket against the hub, in runs of about SPAN nodes.
+    pairs = members.filter("node <> hub").select("hub", "node").distinct()
+    runs = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SPAN).alias("runs"))
+    apart = pairs.join(runs, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("runs")).alias("run"), F.lit(1).alias("side"), "node")
+    ahead = runs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), F.lit(0).alias("side"), F.col("hub").alias("node"))
+    units = apart.union(ahead).select(F.xxhash64("hub", "run").alias("unit"), "side", "node")
+    labels = connected(stored(_compare(units, sets, idf, threshold), "links"))
+
+    # Then, where nodes of different classes are left, those outside the largest class against all.
+    now = members.join(labels.select("node", "label"), "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = now.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band", "key")
+    left = stored(now.join(mixed, ["band", "key"], "left_semi"), "left")
+    labels = merged(labels, stored(_compare(_units(left), sets, idf, threshold), "links"))
+
+    node_class = nodes.select("node", "doc_id", "oldest").join(labels, "node", "left").select("node", "doc_id", "oldest", F.coalesce("label", "node").alias("label"))
     node_class = stored(node_class, "classes")
     smallest = node_class.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min("oldest").alias("oldest"))
-    node_class = stored(node_class.drop("oldest").join(smallest, "label").select(F.col("node").alias("of"), "class_id", F.col("oldest")["row"].alias("stays"), "n_links"), "classes")
-    own = F.coalesce(F.col("node"), F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
-    found = marked.select("doc_id", "row", own.alias("node")).join(node_class, F.col("node") == F.col("of"), "left")
-    class_id = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    kept = F.col("of").isNull() | (F.col("row") == F.col("stays"))
-    return found.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"), "row")
+    return marked, stored(node_class.drop("oldest").join(smallest, "label").select(F.col("node").alias("of"), "class_id", F.col("oldest")["row"].alias("stays")), "classes")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each class, all columns."""
-    gone = _classes(docs, id_col, text_col, **options).filter("not kept").select(F.col("row").alias("k"))
-    return drop_rows(docs, gone, id_col, text_col)
+    """docs with one document of each class, all columns. Rows without words are classes of their own and stay."""
+    found = stored(_classes(docs, id_col, text_col, **options), "found")
+    again = found.filter("kept").groupBy(F.col("row").alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    return keep_one(drop_rows(docs, found.filter("not kept").select(F.col("row").alias("k")), id_col, text_col), again, id_col, text_col)

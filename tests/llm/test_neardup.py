@@ -75,7 +75,39 @@ def test_classes_against_brute_force(spark):
             assert (got[i] == got[j]) == (want[i] == want[j])
     kept = neardup.deduplicate(df)
     assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {got[r.doc_id] for r in out}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(got[r.doc_id]) for r in out})
+
+
+def test_a_large_bucket_of_many_classes(spark, monkeypatch):
+    """Near copies of one text, most below the threshold from each other: all bucket mates are compared, in units of few nodes."""
+    monkeypatch.setattr(neardup, "SPAN", 10)
+    rng = random.Random(5)
+    base = _text(rng, 100).split()
+    texts = []
+    for i in range(150):
+        edited = list(base)
+        for at in rng.sample(range(100), rng.choice([1, 2, 4, 6, 8])):
+            edited[at] = f"e{i}x{at}" if rng.random() < 0.7 else f"common{at}"
+        texts.append(" ".join(edited))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(df, bands=4, rows=1).collect()}
+    idf, _ = neardup.document_frequencies(df.select("text"))
+    sets = [neardup.weighted(neardup.words32(t), idf) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if neardup.similarity(sets[i], sets[j]) >= 0.8]
+    mates = [(i, j) for i, j in links if (neardup.Sampler(4).sample([sets[i]]) == neardup.Sampler(4).sample([sets[j]])).any()]
+    want = _components(mates + [(i, i) for i in range(len(texts))])
+    assert 3 < len(set(want.values())) < 120
+    assert {(got[i], want[i]) for i in got} == {(g, w) for w in set(want.values()) for g in {min(i for i in want if want[i] == w)}}
+
+
+def test_the_joining_links_join_what_all_join():
+    rng = random.Random(6)
+    links = [(bytes([rng.randrange(40)]), bytes([rng.randrange(40)])) for _ in range(50)]
+    some = neardup._joining(links)
+    assert len(some) < len(links)
+    ends = {x for e in links for x in e}
+    a, b = (_components([*x, *((n, n) for n in ends)]) for x in (links, some))
+    assert len({(a[n], b[n]) for n in ends}) == len(set(a.values())) == len(set(b.values()))
 
 
 def test_empty_table(spark):
