@@ -3,12 +3,17 @@
 Texts are sequences of words. For each benchmark item, windows of the item's size slide
 over every document. The CGK random walk maps a window of n words to a string of 3n
 words such that few word edits change few of its places; a table of the index samples
-some of the first 2n places, and item and window meet where all of them agree. The number of
-tables is the least for which simulated items at the allowed distance are found with the
-target probability, each with the collision rate of its own pair: pairs that rarely meet
-decide. Edits are spread over the item, or all lie at its start or in one run, and each
-of these kinds must reach the target. Every candidate is then
-verified by exact word edit distance: at most `edits` times the item's words.
+some of the first 2n places, and item and window meet where all of them agree. Several
+tables share a walk. The number of walks is the least for which simulated items at the
+allowed distance are found with the target probability, each with the collision rate of
+its own pair: pairs that rarely meet decide. Edits are spread over the item, or all lie
+at its start or in one run, and each of these kinds must reach the target.
+
+Every candidate is verified exactly: the least word edit distance between the whole item
+and any stretch of words, of whatever length, near the window. It may be `edits` times
+the item's words at most. Of stretches at the same distance the one that ends first
+counts, and of those with the same end the shortest. Items so short that no edit is
+allowed are looked up as they are.
 
 An edit touches two pairs of neighbouring words at most, so a window within k edits of an
 item of n words holds n - 1 - 2k of its word pairs. Windows with fewer pairs from all
@@ -16,27 +21,28 @@ items are passed over before they are embedded; this loses nothing. Item
 lengths are grouped in classes; windows have the least length of the class and are
 compared with as many first words of its items.
 
-Items are taken in blocks of `block` items; the index of a block, the only thing sent to
-the executors, is of that bounded size. Items of fewer than `least_words` words are
-skipped, as they occur by chance. Null or empty texts match nothing, null ids are
-carried, repeated rows give repeated results, an empty table gives an empty result.
+Items are taken in blocks of at most `block` items and `words` words, so the index of a
+block, all that is sent to the executors, is of bounded size. Up to `together` blocks
+share a pass over the documents; what more blocks there are take further passes.
+
+Null or empty texts hold nothing and items without words are held by nothing; null ids
+are carried; repeated rows are judged each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import drop_rows, row_key
-from .common import in_slices, mix, word_hashes
+from .common import lots, mix, stored, word_hashes, word_hashes_of
 
-EDITS, RECALL, SAMPLED, BLOCK, LEAST_WORDS = 0.2, 0.99, 3, 20_000, 5
+EDITS, RECALL, SAMPLED, PER_WALK, BLOCK, WORDS, TOGETHER = 0.2, 0.99, 3, 6, 20_000, 2_000_000, 4
 #: Where simulated edits lie.
 KINDS = ("spread", "start", "run", "substitutions spread", "substitutions at the start", "substitutions in a run")
 _PAD = np.uint64(0)
@@ -64,20 +70,39 @@ def embed(windows: np.ndarray, seed: int, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def edit_distance(a: list, b: list, most: int) -> int:
-    """Word edit distance, or most + 1 when it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        low = i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-            low = min(low, row[j])
-        if low > most:
-            return most + 1
-    return min(row[-1], most + 1)
+def _distances(item: list, text: list, anchored: bool) -> list[int]:
+    """After each word of text, the least edit distance of item to a stretch that ends there.
+
+    The stretch starts anywhere, or with the first word if anchored. Columns of the table
+    of distances are bit vectors of their differences, one step a word of text.
+    """
+    m = len(item)
+    masks: dict = {}
+    for i, w in enumerate(item):
+        masks[w] = masks.get(w, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, now, out = full, 0, m, []
+    for w in text:
+        same = masks.get(w, 0)
+        level = same | minus
+        across = (((same & plus) + plus) ^ plus) | same
+        up, down = minus | (full & ~(across | plus)), plus & across
+        now += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | anchored) & full, down << 1 & full
+        plus, minus = down | (full & ~(level | up)), up & level
+        out.append(now)
+    return out
+
+
+def closest(item: list, text: list) -> tuple[int, int, int]:
+    """(edit distance, first word, end) of the stretch of text that is closest to the item."""
+    after = _distances(item, text, False)
+    best = min(after, default=len(item))
+    if best >= len(item):
+        return len(item), 0, 0
+    end = after.index(best) + 1
+    back = _distances(item[::-1], text[:end][::-1], True)
+    return best, end - 1 - back.index(best), end
 
 
 def _pairs(words: np.ndarray) -> np.ndarray:
@@ -91,32 +116,48 @@ def _fold(samples: np.ndarray, salt: int) -> np.ndarray:
     return key
 
 
+class Table:
+    """Keys of items, sorted; which rows of asked keys meet which items."""
+
+    def __init__(self, keys: np.ndarray, items: list[int]):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.items = keys[order], np.array(items, np.int64)[order]
+
+    def meet(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = np.searchsorted(self.keys, asked)
+        rows = np.flatnonzero(self.keys[np.minimum(low, len(self.keys) - 1)] == asked)
+        low = low[rows]
+        many = np.searchsorted(self.keys, asked[rows], "right") - low
+        place = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        return np.repeat(rows, many), self.items[place]
+
+
 class Index:
-    """The tables of a block of items."""
+    """The tables of a block of items (id, words)."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], edits: float = EDITS, recall: float = RECALL, sampled: int = SAMPLED, seed: int = 11):
-        self.items = [(i, w) for i, w in items if len(w) >= LEAST_WORDS]
+    def __init__(self, items: list[tuple[int, np.ndarray]], edits: float = EDITS, recall: float = RECALL, sampled: int = SAMPLED, per_walk: int = PER_WALK, seed: int = 11):
+        self.items = [(i, w) for i, w in items if len(w)]
         self.edits = edits
-        self.pairs = np.unique(np.concatenate([_pairs(w) for _, w in self.items])) if self.items else np.empty(0, np.uint64)
-        by_size = defaultdict(list)
+        exact, by_size = defaultdict(list), defaultdict(list)
         for k, (_, w) in enumerate(self.items):
-            by_size[self.size_class(len(w))].append(k)
+            (by_size[self.size_class(len(w))] if self.allowed(len(w)) else exact[len(w)]).append(k)
+        self.exact = {n: Table(_fold(np.stack([self.items[k][1] for k in members]), n), members) for n, members in sorted(exact.items())}
+        paired = [_pairs(self.items[k][1]) for members in by_size.values() for k in members]
+        self.pairs = np.unique(np.concatenate(paired)) if paired else np.empty(0, np.uint64)
         rng = np.random.default_rng(seed)
-        self.tables: dict[int, list] = {}
+        self.walks: dict[int, list] = {}
         self.need: dict[int, int] = {}
         for n, members in sorted(by_size.items()):
             # Word pairs that a window must share with the items: the lowest bound in the class.
             self.need[n] = n - 1 - 2 * max(self.allowed(len(self.items[k][1])) for k in members)
-            count = self._count(self._rates(n, [self.items[k][1] for k in members], sampled, rng), recall)
-            tables = []
+            count = self._count(self._rates(n, [self.items[k][1] for k in members], sampled, per_walk, rng), recall)
+            windows = np.stack([self._fit(self.items[k][1], n) for k in members])
+            self.walks[n] = []
             for t in range(count):
-                places = np.sort(rng.choice(2 * n, size=min(sampled, 2 * n), replace=False))
-                keys = defaultdict(list)
-                windows = np.stack([self._fit(self.items[k][1], n) for k in members])
-                for k, key in zip(members, _fold(embed(windows, 1000 * n + t, places), t).tolist(), strict=True):
-                    keys[key].append(k)
-                tables.append((1000 * n + t, places, t, keys, np.array(sorted(keys), np.uint64)))
-            self.tables[n] = tables
+                samples = np.stack([np.sort(rng.choice(2 * n, size=min(sampled, 2 * n), replace=False)) for _ in range(per_walk)])
+                places, where = np.unique(samples, return_inverse=True)
+                where, found = where.reshape(samples.shape), embed(windows, 1000 * n + t, places)
+                self.walks[n].append((1000 * n + t, places, [(w, Table(_fold(found[:, w], n), members)) for w in where]))
 
     def allowed(self, words: int) -> int:
         return int(self.edits * words)
@@ -137,12 +178,12 @@ class Index:
 
     @staticmethod
     def _count(rates: np.ndarray, recall: float) -> int:
-        """The least number of tables, 4 at least, for which every row of rates (a kind of edits) has the mean recall."""
+        """The least number of walks for which every row of rates (a kind of edits) has the mean recall."""
         reached = lambda count: (1 - (1 - rates) ** count).mean(axis=1).min() >= recall
-        high = 4
+        high = 1
         while not reached(high):
             high *= 2
-        low = 4 if high == 4 else high // 2 + 1
+        low = high // 2 + 1
         while low < high:
             middle = (low + high) // 2
             low, high = (low, middle) if reached(middle) else (middle + 1, high)
@@ -167,8 +208,8 @@ class Index:
                 del out[at]
         return np.array(out, np.uint64)
 
-    def _rates(self, n: int, items: list[np.ndarray], sampled: int, rng, trials: int = 300, seeds: int = 48) -> np.ndarray:
-        """How often one table joins an item and an edited copy of it: a row for each kind of edits, a column for each pair."""
+    def _rates(self, n: int, items: list[np.ndarray], sampled: int, per_walk: int, rng, trials: int = 300, seeds: int = 48) -> np.ndarray:
+        """How often the tables of a walk join an item and an edited copy: a row for each kind of edits, a column for each pair."""
         a, b = [], []
         for kind in KINDS:
             for _ in range(trials):
@@ -180,97 +221,138 @@ class Index:
         total = np.zeros(len(a))
         for seed in range(seeds):
             same = (embed(a, seed, places) == embed(b, seed, places)).sum(axis=1)
-            # All choices of places at once: the share of them whose places all agree.
-            total += np.prod([np.maximum(same - i, 0) / (2 * n - i) for i in range(take)], axis=0)
+            # Over all choices of places: the share of them whose places all agree, and that one of several does.
+            one = np.prod([np.maximum(same - i, 0) / (2 * n - i) for i in range(take)], axis=0)
+            total += 1 - (1 - one) ** per_walk
         # A pair that never met counts as one that may have met once in twice as many choices of seeds.
         return np.maximum(total / seeds, 1 / (2 * seeds * math.comb(2 * n, take))).reshape(len(KINDS), trials)
 
     def find(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
-        """For each word sequence, (item id, first word, distance) of the best window of each item that occurs."""
+        """For each word sequence, (item id, first word, distance) of the closest stretch for each item that occurs."""
         best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         if not self.items or not any(map(len, texts)):
             return [[] for _ in texts]
         # All texts lie in one row, so that windows are embedded many at a time; the gaps hold no word.
-        gap = np.full(max(self.tables), _PAD)
+        gap = np.full(max([*self.walks, *self.exact]), _PAD)
         flat = np.concatenate([x for t in texts for x in (t, gap)])
         begin = np.cumsum([0, *[len(t) + len(gap) for t in texts]])
-        pairs = _pairs(flat)
-        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-        known = np.concatenate([[0], np.cumsum(self.pairs[at] == pairs)])
-        for n, tables in self.tables.items():
+        sizes = [len(t) for t in texts]
+        for n, table in self.exact.items():
+            key = np.full(len(flat) - n + 1, n, np.uint64)
+            for j in range(n):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ flat[j : len(flat) - n + 1 + j])
+            for start, k in zip(*(x.tolist() for x in table.meet(key)), strict=True):
+                doc = int(np.searchsorted(begin, start, "right")) - 1
+                best[doc].setdefault(k, (0, start - int(begin[doc])))
+        if self.walks:
+            pairs = _pairs(flat)
+            at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+            known = np.concatenate([[0], np.cumsum(self.pairs[at] == pairs)])
+        for n, walks in self.walks.items():
             starts = np.flatnonzero(known[n - 1 :] - known[: len(known) - n + 1] >= self.need[n])
             starts = starts[flat[starts] != _PAD]  # one in the gap before a text would count for the text before it
             for lot in range(0, len(starts), 20_000):
-                self._lot(flat, n, starts[lot : lot + 20_000], tables, begin, best)
+                self._lot(flat, n, starts[lot : lot + 20_000], walks, begin, sizes, best)
         return [[(self.items[k][0], start, d) for k, (d, start) in sorted(x.items())] for x in best]
 
-    def _lot(self, flat, n, starts, tables, begin, best) -> None:
-        windows = flat[starts[:, None] + np.arange(n)]
-        done = set()
-        for seed, places, t, keys, sorted_keys in tables:
-            got = _fold(embed(windows, seed, places), t)
-            for i in np.flatnonzero(np.isin(got, sorted_keys)).tolist():
-                for k in keys[int(got[i])]:
-                    if (i, k) in done:
-                        continue
-                    done.add((i, k))
-                    item = self.items[k][1].tolist()
-                    most = self.allowed(len(item))
-                    start = int(starts[i])
-                    doc = int(np.searchsorted(begin, start, "right")) - 1
-                    window = [w for w in flat[start : start + len(item)].tolist() if w]
-                    d = edit_distance(item, window, most)
-                    if d <= most and (d, start - int(begin[doc])) < best[doc].get(k, (most + 1, 0)):
-                        best[doc][k] = (d, start - int(begin[doc]))
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, **options) -> DataFrame:
-    """One row per document and item that occurs in it: doc_id, item_id, first_word, edits."""
-    return _matches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), benchmark, item_col, item_text, block, **options)
-
-
-def _matches(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, **options) -> DataFrame:
-    """As matches, for rows of a key (of type long or binary) and a text."""
-    spark = rows.sparkSession
-    name, kind = rows.dtypes[0]
-    types = [pa.binary() if kind == "binary" else pa.int64(), *[pa.int64()] * 3]
-    schema = f"{name} {'binary' if kind == 'binary' else 'long'}, item_id long, first_word long, edits long"
-    found, held = [], []
-
-    def search(index):
+    def _lot(self, flat, n, starts, walks, begin, sizes, best) -> None:
+        windows, docs, met = flat[starts[:, None] + np.arange(n)], np.searchsorted(begin, starts, "right") - 1, []
+        for seed, places, tables in walks:
+            found = embed(windows, seed, places)
+            for where, table in tables:
+                rows, items = table.meet(_fold(found[:, where], n))
+                met.append(items * len(starts) + rows)
+        met = np.unique(np.concatenate(met))
+        near: dict[tuple[int, int], list[int]] = defaultdict(list)  # item and document -> windows, in order
+        for k, row in zip((met // len(starts)).tolist(), (met % len(starts)).tolist(), strict=True):
+            near[k, int(docs[row])].append(int(starts[row] - begin[docs[row]]))
+        for (k, doc), places in near.items():
+            item = self.items[k][1].tolist()
+            most, words = self.allowed(len(item)), flat[begin[doc] : begin[doc] + sizes[doc]]
+            first = 0
+            for i, start in enumerate(places):
+                # Windows whose surroundings meet are looked through together.
+                if i + 1 < len(places) and places[i + 1] - start <= len(item) + 2 * most:
+                    continue
+                low = max(places[first] - most, 0)
+                d, at, _ = closest(item, words[low : start + len(item) + most].tolist())
+                if d <= most and (d, low + at) < best[doc].get(k, (most + 1, 0)):
+                    best[doc][k] = (d, low + at)
+                first = i + 1
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block: int, words: int, **options) -> Iterator[Index]:
+    """Indexes of the items, block by block: the driver holds one block's texts."""
+    held, size = [], 0
+    for item, text in benchmark.select(benchmark[item_col].cast("long"), benchmark[item_text]).toLocalIterator():
+        found = word_hashes(text)
+        if held and (len(held) >= block or size + len(found) > words):
+            yield Index(held, **options)
+            held, size = [], 0
+        held.append((item, found.copy()))
+        size += len(found)
+    if held:
+        yield Index(held, **options)
+
+
+def _passes(docs: DataFrame, search, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, words: int = WORDS, together: int = TOGETHER, **options) -> DataFrame:
+    """search(docs, broadcast indexes) for every `together` blocks in turn; what a pass gives is written before the next."""
+    held = []
+    context = docs.sparkSession.sparkContext
+    for index in _blocks(benchmark, item_col, item_text, block, words, **options):
+        if len(held) == together:
+            docs, held = stored(search(docs, held), "searched"), []
+        held.append(context.broadcast(index))
+    return search(docs, held) if held else docs
+
+
+def _hits(indexes, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
+    found = word_hashes_of(texts)
+    each = [index.value.find(found) for index in indexes]
+    return [[hit for x in hits for hit in x] for hits in zip(*each, strict=True)]
+
+
+_HITS = "array<struct<item_id: bigint, first_word: bigint, edits: bigint>>"
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """doc_id, text and hits of every row."""
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("edits", pa.int64())]))
+
+    def search(rows: DataFrame, indexes: list) -> DataFrame:
+        def run(batches):
+            for batch in lots(batches, 1):
+                more = _hits(indexes, batch.column(1).to_pylist())
+                hits = [[*old, *({"item_id": i, "first_word": s, "edits": d} for i, s, d in new)] for old, new in zip(batch.column(2).to_pylist(), more, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, kind)], names=["doc_id", "text", "hits"])
+
+        return rows.mapInArrow(run, f"doc_id long, text string, hits {_HITS}")
+
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.array().cast(_HITS).alias("hits"))
+    return _passes(rows, search, benchmark, **options)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of docs and item that it holds: doc_id, item_id, first_word, edits."""
+    return _found(docs, benchmark, id_col, text_col, **options).select("doc_id", F.inline("hits"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of docs that holds items: doc_id, items (sorted distinct ids), n_items, edits (of the closest)."""
+    found = _found(docs, benchmark, id_col, text_col, **options).filter(F.size("hits") > 0)
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
+    return found.select("doc_id", items.alias("items"), F.size(items).cast("long").alias("n_items"), F.array_min(F.transform("hits", lambda h: h["edits"])).alias("edits"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows that hold a benchmark item, all columns; every row is judged by its own text."""
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def search(rows: DataFrame, indexes: list) -> DataFrame:
         def run(batches):
-            for batch in batches:
-                ids, texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-                for a, b in in_slices(texts):
-                    hits = index.value.find([word_hashes(t) for t in texts[a:b]])
-                    out += [(key, *hit) for key, found_ in zip(ids[a:b], hits, strict=True) for hit in found_]
-                cols = list(zip(*out, strict=True)) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[name, "item_id", "first_word", "edits"])
-
-        return rows.mapInArrow(run, schema)
-
-    def flush():
-        index = Index(held, **options)
-        if index.items:
-            found.append(search(spark.sparkContext.broadcast(index)))
-        held.clear()
-
-    items = benchmark.select(benchmark[item_col].cast("long"), benchmark[item_text])
-    for item, text in items.toLocalIterator():  # block by block: the driver holds one block
-        held.append((item, word_hashes(text).copy()))
-        if len(held) >= block:
-            flush()
-    flush()
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row per row of docs that holds items: doc_id, items (sorted ids), n_items, edits (of the closest)."""
-    found = matches(docs, benchmark, **options)
-    return found.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.countDistinct("item_id").alias("n_items"), F.min("edits").alias("edits"))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that hold a benchmark item, all columns."""
-    rows = docs.select(row_key(docs[id_col], docs[text_col]).alias("k"), docs[text_col].alias("text"))
-    return drop_rows(docs, _matches(rows, benchmark, **options).select("k"), id_col, text_col)
+            for batch in lots(batches, at):
+                yield batch.filter(pa.array([not hits for hits in _hits(indexes, batch.column(at).to_pylist())], pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return _passes(docs, search, benchmark, **options)
