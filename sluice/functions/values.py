@@ -226,3 +226,31 @@ def hash_map(entries: dict[str, Column]) -> Column:
 def unified_integer(c: Column) -> Column:
     """The integer form of a double column; NULL where it has none."""
     return F.when(~F.isnan(c) & (F.abs(c) <= float(SAFE)) & (c == F.floor(c)), c.cast("long"))
+
+
+def unified(c: Column) -> Column:
+    """A double column in its one form, as canonical JSON text; NULL where it is no value (NaN, infinities)."""
+    whole = unified_integer(c)
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.coalesce(whole.cast("string"), c.cast("string")))
+
+
+def pointer_in(v: Column, path: str) -> Column:
+    """RFC 6901 lookup in a VARIANT column; NULL on a miss. A key with a quote cannot be looked up there."""
+    if path == "":
+        return v
+    if not path.startswith("/"):
+        return F.lit(None).cast("variant")
+    for token in path[1:].split("/"):
+        token = token.replace("~1", "/").replace("~0", "~")
+        if "'" in token:
+            raise ValueError("a key with a quote cannot be looked up in a variant")
+        found = F.try_variant_get(v, f"$['{token}']", "variant")
+        if re.fullmatch(r"0|[1-9]\d*", token):
+            found = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, f"$[{token}]", "variant")).otherwise(found)
+        v = found
+    return v
+
+
+def bounds_of(v: Column) -> Column:
+    """`string_length` where a string column is longer than the data model allows, else an empty string."""
+    return F.when(F.octet_length(v) > MAX_STRING, "string_length").otherwise("")

@@ -30,7 +30,8 @@ def generate(seed: int) -> dict:
         if i == 0:
             nodes.append({"id": "n0", "routine": "vec/const@1", "params": {"value": rng.draw(1000)}})
         elif fails:
-            nodes.append({"id": f"n{i}", "routine": "vec/fail@1", "params": {"code": "gen/fail", "message": "generated", "retryable": False}})
+            #: The params of a failing node.
+            nodes.append({"id": f"n{i}", "routine": "vec/fail@1", "params": {"code": "vec/planned", "message": "planned failure", "retryable": False}})
             edges.append({"kind": "data", "from": f"n{rng.draw(i)}", "to": f"n{i}.in"})
         else:
             nodes.append({"id": f"n{i}", "routine": "vec/pack@1"})

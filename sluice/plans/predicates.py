@@ -14,11 +14,13 @@ import json
 import math
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, NumericType, StringType, StructType, VariantType
 
 from ..functions.values import ABSENT, SAFE, equal, lookup, unify
 
@@ -297,6 +299,14 @@ def match_tree(m: dict) -> Node:
     return out
 
 
+def rule_weight(when: dict) -> int:
+    """The weight of a rule. In a match specification a comparison weighs 4, a test of presence 3, a group 2 and its members."""
+    if "expr" in when:
+        return weight(parse(when["expr"]))
+    kind = when.get("kind")
+    return 4 if kind == "compare" else 3 if kind in ("present", "absent") else 2 + sum(map(rule_weight, when.get("of", [])))
+
+
 def match_problem(m: dict) -> bool:
     """Whether a comparison in the specification can never hold."""
     if m.get("kind") == "compare":
@@ -390,56 +400,164 @@ def implies(later: list, earlier: list) -> bool:
 
 @dataclass(frozen=True)
 class Typed:
-    """A column whose NULL means absent; kind is number, string, boolean, list or other."""
+    """A column whose NULL means absent.
 
-    column: Column
+    kind is number, string, boolean, list, record, map, variant or other; of is the kind of
+    a list's or a map's elements as a Typed without a column, or the fields of a record.
+    """
+
+    column: Column | None
     kind: str
+    of: Any = None
+
+
+def kind_of(t: DataType) -> Typed:
+    """The kind of a Spark type, without a column."""
+    if isinstance(t, BooleanType):
+        return Typed(None, "boolean")
+    if isinstance(t, NumericType):
+        return Typed(None, "number")
+    if isinstance(t, StringType):
+        return Typed(None, "string")
+    if isinstance(t, ArrayType):
+        return Typed(None, "list", kind_of(t.elementType))
+    if isinstance(t, MapType):
+        return Typed(None, "map", kind_of(t.valueType))
+    if isinstance(t, StructType):
+        return Typed(None, "record", {f.name: kind_of(f.dataType) for f in t.fields})
+    return Typed(None, "variant" if isinstance(t, VariantType) else "other")
+
+
+def column_of(df: DataFrame, name: str) -> Typed:
+    """A column of a DataFrame with its kind, as deep as its type goes."""
+    return replace(kind_of(df.schema[name].dataType), column=df[name])
+
+
+def element(t: Typed, column: Column) -> Typed:
+    """An element of a list or a map. Lists of unknown elements hold numbers."""
+    return replace(t.of, column=column) if isinstance(t.of, Typed) else Typed(column, "number" if t.kind == "list" else "other")
+
+
+def step(t: Typed, seg: str | int) -> Typed | None:
+    """A typed column one segment deeper; None where no value of its kind has that segment."""
+    if t.kind == "variant":
+        if isinstance(seg, str) and "'" in seg:
+            raise ParseError("a key with a quote cannot be looked up in a variant")
+        return Typed(F.try_variant_get(t.column, f"$[{seg}]" if isinstance(seg, int) else f"$['{seg}']", "variant"), "variant")
+    if isinstance(seg, int):
+        return element(t, F.get(t.column, F.lit(seg))) if t.kind == "list" else None
+    if t.kind == "record" and isinstance(t.of, dict):
+        return replace(t.of[seg], column=t.column[seg]) if seg in t.of else None
+    if t.kind == "map":
+        return element(t, F.try_element_at(t.column, F.lit(seg)))
+    return Typed(t.column[seg], "other") if t.kind in ("record", "other") else None
+
+
+def resolve(t: Typed | None, path: list | tuple) -> Typed | None:
+    for seg in path:
+        t = None if t is None else step(t, seg)
+    return t
+
+
+_VARIANT_KINDS = {"number": ("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)", "double"), "string": ("^STRING", "string"), "boolean": ("^BOOLEAN", "boolean")}
+
+
+def as_kind(t: Typed, kind: str) -> Column:
+    """The column where it holds a value of the kind, else NULL."""
+    if t.kind == "variant" and kind in _VARIANT_KINDS:
+        pattern, cast = _VARIANT_KINDS[kind]
+        return F.when(F.schema_of_variant(t.column).rlike(pattern), F.try_variant_get(t.column, "$", cast))
+    if t.kind == kind:
+        return t.column.cast("double") if kind == "number" else t.column
+    return F.lit(None).cast({"number": "double", "string": "string", "boolean": "boolean"}[kind])
+
+
+def _size(t: Typed) -> Column:
+    if t.kind in ("list", "map"):
+        return F.size(t.column).cast("double")
+    if t.kind == "record":
+        return sum((F.when(t.column[f].isNotNull(), 1.0).otherwise(0.0) for f in t.of or {}), F.lit(0.0))
+    if t.kind == "variant":
+        text = F.to_json(t.column)
+        return F.coalesce(F.json_array_length(text), F.size(F.json_object_keys(text))).cast("double")
+    return F.lit(None).cast("double")
+
+
+def _there(t: Typed) -> Column:
+    return F.lit(False) if t.kind == "absent" else t.column.isNotNull()
+
+
+def _false(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def _compared(op: str, a: Typed, b: Typed) -> Column:
+    """Kinds never cross: what differs in kind is unequal when both are there, and has no order."""
+    if "absent" in (a.kind, b.kind):
+        return F.lit(False)
+    plain = ("number", "string", "boolean")
+    kinds = [k for k in plain if k in (a.kind, b.kind)] or ([k for k in plain] if "variant" in (a.kind, b.kind) else [])
+    kinds = [k for k in kinds if a.kind in (k, "variant") and b.kind in (k, "variant")]
+    if op in ("<", "<=", ">", ">="):
+        tests = []
+        for k in kinds:
+            if k != "boolean":
+                x, y = as_kind(a, k), as_kind(b, k)
+                tests.append(_false({"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]))
+        return reduce(lambda p, q: p | q, tests, F.lit(False))
+    if a.kind == b.kind and a.kind not in (*plain, "variant"):
+        same = _false(a.column == b.column)
+    else:
+        same = reduce(lambda p, q: p | q, [_false(as_kind(a, k) == as_kind(b, k)) for k in kinds], F.lit(False))
+        if a.kind == b.kind == "variant":  # nulls, lists and maps by their text, whose keys are sorted
+            other = [~F.schema_of_variant(t.column).rlike("|".join(p for p, _ in _VARIANT_KINDS.values())) for t in (a, b)]
+            same = same | _false(other[0] & other[1] & (F.to_json(a.column) == F.to_json(b.column)))
+    return same if op == "==" else _there(a) & _there(b) & ~same
+
+
+def _truth(t: Typed) -> Column:
+    return _false(as_kind(t, "boolean")) if t.kind in ("boolean", "variant") else F.lit(False)
+
+
+def holds(n: Node, resolve: Callable[[list], Typed | None]) -> Column:
+    """Whether the predicate holds: never NULL, and false for what is no boolean."""
+    return _truth(lower(n, resolve))
 
 
 def lower(n: Node, resolve: Callable[[list], Typed | None]) -> Typed:
     """The tree as a Column. Connectives see false for NULL, so three-valued logic never shows."""
     if n.kind == "lit":
-        kind = "boolean" if isinstance(n.value, bool) else "number" if isinstance(n.value, int | float) else "string" if isinstance(n.value, str) else "other"
-        return Typed(F.lit(float(n.value)) if kind == "number" else F.lit(n.value), kind)
+        kind = "boolean" if isinstance(n.value, bool) else "number" if isinstance(n.value, int | float) else "string" if isinstance(n.value, str) else "variant"
+        return Typed(F.lit(float(n.value)) if kind == "number" else F.parse_json(F.lit("null")) if n.value is None else F.lit(n.value), kind)
     if n.kind == "list":
         return Typed(F.array(*map(F.lit, n.value)), "list")
     if n.kind == "ref":
         return resolve(n.value) or Typed(F.lit(None), "absent")
-    false = lambda c: F.coalesce(c, F.lit(False))
     if n.kind == "call":
         got = lower(n.args[0], resolve)
         if n.op == "size":
-            return Typed(F.size(got.column).cast("double") if got.kind == "list" else F.lit(None).cast("double"), "number")
-        there = F.lit(False) if got.kind == "absent" else got.column.isNotNull()
-        return Typed(there if n.op == "present" else ~there, "boolean")
-    truth = lambda t: false(t.column) if t.kind == "boolean" else F.lit(False)
+            return Typed(F.lit(None).cast("double") if got.kind == "absent" else _size(got), "number")
+        return Typed(_there(got) if n.op == "present" else ~_there(got), "boolean")
     if n.kind == "not":
-        return Typed(~truth(lower(n.args[0], resolve)), "boolean")
+        return Typed(~_truth(lower(n.args[0], resolve)), "boolean")
     if n.kind == "bin" and n.op == "in":
         a, right = lower(n.args[0], resolve), n.args[1]
+        if right.kind == "list" and a.kind in ("number", "string", "boolean"):  # as one test, which a scan can take
+            kind = {"number": lambda v: type(v) in (int, float), "string": lambda v: isinstance(v, str), "boolean": lambda v: isinstance(v, bool)}[a.kind]
+            same = [v for v in right.value if kind(v)]
+            return Typed(_false(a.column.isin(*same)) if same else F.lit(False), "boolean")
         if right.kind == "list":
-            same = [v for v in right.value if {"number": type(v) in (int, float), "string": isinstance(v, str), "boolean": isinstance(v, bool)}.get(a.kind, False)]
-            return Typed(false(a.column.isin(*same)) if same else F.lit(False), "boolean")
+            return Typed(reduce(lambda p, q: p | q, [_compared("==", a, lower(Node("lit", value=v), resolve)) for v in right.value], F.lit(False)), "boolean")
         b = lower(right, resolve)
-        return Typed(false(F.exists(b.column, lambda x: x == a.column)) if b.kind == "list" and a.kind != "absent" else F.lit(False), "boolean")
+        if b.kind != "list" or a.kind == "absent":
+            return Typed(F.lit(False), "boolean")
+        return Typed(_false(F.exists(b.column, lambda x: _compared("==", element(b, x), a))), "boolean")
     args = [lower(a, resolve) for a in n.args]
     if n.kind == "bin" and n.op in ("&&", "||"):
-        x, y = map(truth, args)
+        x, y = map(_truth, args)
         return Typed(x & y if n.op == "&&" else x | y, "boolean")
     if n.kind == "neg" or n.op in ("+", "-", "*"):
-        if any(a.kind != "number" for a in args):
-            return Typed(F.lit(None).cast("double"), "number")
-        x, y = (F.lit(0.0), args[0].column) if n.kind == "neg" else (args[0].column.cast("double"), args[1].column.cast("double"))
+        x, y = (F.lit(0.0), as_kind(args[0], "number")) if n.kind == "neg" else (as_kind(a, "number") for a in args)
         out = x + y if n.op == "+" else x * y if n.op == "*" else x - y
         return Typed(F.when(~F.isnan(out) & (F.abs(out) != float("inf")), out), "number")
-    a, b = args
-    if "absent" in (a.kind, b.kind):
-        return Typed(F.lit(False), "boolean")
-    if a.kind != b.kind:  # kinds never cross: unequal when both are there
-        both = a.column.isNotNull() & b.column.isNotNull()
-        return Typed(both if n.op == "!=" else F.lit(False), "boolean")
-    if n.op in ("<", "<=", ">", ">=") and a.kind not in ("number", "string"):
-        return Typed(F.lit(False), "boolean")
-    x, y = (a.column.cast("double"), b.column.cast("double")) if a.kind == "number" else (a.column, b.column)
-    got = {"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[n.op]
-    return Typed(false(got), "boolean")
+    return Typed(_compared(n.op, *args), "boolean")

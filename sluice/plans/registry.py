@@ -8,22 +8,22 @@ from typing import Any
 
 
 class Failure(Exception):
-    """A routine's failure; retryable is None when the routine did not say."""
+    """A routine's failure; retryable is None when the routine did not say, and may count without being said."""
 
-    def __init__(self, code: str, message: str = "", retryable: bool | None = None, detail: Any = None):
+    def __init__(self, code: str, message: str = "", retryable: bool | None = None, detail: Any = None, said: bool = True):
         super().__init__(code)
-        self.code, self.message, self.retryable, self.detail = code, message, retryable, detail
+        self.code, self.message, self.retryable, self.detail, self.said = code, message, retryable, detail, said
 
     def value(self) -> dict:
         out: dict = {"code": self.code, "message": self.message}
-        if self.retryable is not None:
+        if self.retryable is not None and self.said:
             out["retryable"] = self.retryable
         if self.detail is not None:
             out["detail"] = self.detail
         return out
 
     def __reduce__(self):
-        return Failure, (self.code, self.message, self.retryable, self.detail)
+        return Failure, (self.code, self.message, self.retryable, self.detail, self.said)
 
 
 @dataclass(frozen=True)
@@ -81,27 +81,33 @@ def _value(name: str):
     return lambda env: {"value": env.get(name)}
 
 
+def _text(env: dict, name: str) -> str:
+    return env[name] if isinstance(env.get(name), str) else ""
+
+
+#: Fixed values, here and in the two below: the codes and messages of the stock failures.
 def _fail(env: dict) -> dict:
-    raise Failure(env.get("code", "vec/failed"), env.get("message", ""), env.get("retryable"))
+    raise Failure(_text(env, "code"), _text(env, "message"), env.get("retryable") is True)
 
 
 def _flaky(env: dict) -> dict:
-    if env.get("$attempt", 1) < env.get("succeed_on", 1):
-        raise Failure("vec/again", "", True)
-    return {"value": env.get("in")}
+    wanted = env.get("succeed_on")
+    if env.get("$attempt", 0) < (wanted if type(wanted) is int else 0):
+        raise Failure("vec/again", "not yet", True, said=False)
+    return {"value": env.get("value")}
 
 
 def _fail_if(env: dict) -> dict:
     from ..functions.values import equal
 
-    if "when" in env and equal(env.get("in"), env["when"]):
-        raise Failure("vec/failif", "", False)
+    if equal(env.get("in"), env.get("when")):
+        raise Failure(_text(env, "code"), "matched", False)
     return {"value": env.get("in")}
 
 
 def _deep(env: dict) -> dict:
     value: Any = 0
-    for _ in range(int(env.get("n", 0))):
+    for _ in range(env["n"] if type(env.get("n")) is int else 0):
         value = [value]
     return {"value": value}
 
@@ -112,7 +118,7 @@ STOCK: dict[str, Callable[[dict], dict]] = {
     "vec/echo@1": _value("in"),
     "vec/sense@1": _value("in"),
     "vec/pack@1": lambda env: {"value": {k: env[k] for k in ("a0", "a1", "a2", "a3", "a4", "a5") if k in env}},
-    "vec/two@1": lambda env: {"a": env.get("a", env.get("in")), "b": env.get("b", env.get("in"))},
+    "vec/two@1": lambda env: {"a": env.get("a"), "b": env.get("b")},
     "vec/scrub@1": lambda env: {"value": "scrubbed"},
     "vec/fail@1": _fail,
     "vec/flaky@1": _flaky,
@@ -135,12 +141,12 @@ def stock_registry() -> Registry:
         "vec/echo@1": contract([{"name": "in", **_ANY}], _OUT, "pure"),
         "vec/sense@1": contract([{"name": "in", **_ANY}], [{"port": "value", "sensitivity": "pii"}], "pure"),
         "vec/pack@1": contract([{"name": f"a{i}", "optional": True, **_ANY} for i in range(6)], _OUT, "pure"),
-        "vec/two@1": contract([_IN, *_CONFIG("a", "b")], [{"port": "a"}, {"port": "b"}], "pure"),
+        "vec/two@1": contract(_CONFIG("a", "b"), [{"port": "a"}, {"port": "b"}], "pure"),
         "vec/scrub@1": contract([_IN], [{"port": "value", "sensitivity": "public"}], "pure"),
         "vec/fail@1": contract([_IN, *_CONFIG("code", "message", "retryable")], _OUT, "effectful", "effect"),
-        "vec/flaky@1": contract([_IN, *_CONFIG("succeed_on")], _OUT, "effectful", "effect"),
+        "vec/flaky@1": contract([_IN, *_CONFIG("value", "succeed_on")], _OUT, "effectful", "effect"),
         "vec/keyecho@1": contract([_IN], _OUT, "effectful", "effect"),
-        "vec/failif@1": contract([{"name": "in", **_ANY}, *_CONFIG("when")], _OUT, "pure"),
+        "vec/failif@1": contract([{"name": "in", **_ANY}, *_CONFIG("when", "code")], _OUT, "pure"),
         "vec/deep@1": contract([_IN, *_CONFIG("n")], _OUT, "pure"),
     }
     return out
