@@ -38,12 +38,18 @@ def sealed(content_hash: Column) -> Column:
     return F.struct(F.lit(True).alias("sealed"), content_hash.alias("contentHash"))
 
 
-def budgeted(ready: DataFrame, ceilings: dict[str, int]) -> DataFrame:
-    """ready (execution_id, ord, cost_class, ...) with selected: a running count under each class's ceiling."""
+def budgeted(ready: DataFrame, ceilings: dict[str, int], used: DataFrame | None = None) -> DataFrame:
+    """ready (execution_id, ord, cost_class, ...) with selected: a running count under what is left of each class's ceiling.
+
+    used (execution_id, cost_class, ticks): what earlier waves have used.
+    """
     w = Window.partitionBy("execution_id", "cost_class").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ceiling = F.create_map(*[F.lit(x) for kv in sorted(ceilings.items()) for x in kv]) if ceilings else F.create_map().cast("map<string,int>")
-    most = F.try_element_at(ceiling, F.col("cost_class"))
-    return ready.withColumn("selected", most.isNull() | (F.count(F.lit(1)).over(w) <= most))
+    most, before = F.try_element_at(ceiling, F.col("cost_class")), F.lit(0)
+    if used is not None:
+        ticks = used.groupBy("execution_id", "cost_class").agg(F.sum("ticks").alias("_ticks"))
+        ready, before = ready.join(ticks, ["execution_id", "cost_class"], "left"), F.coalesce("_ticks", F.lit(0))
+    return ready.withColumn("selected", most.isNull() | (F.count(F.lit(1)).over(w) + before <= most)).drop("_ticks")
 
 
 def defer_costly(ready: DataFrame, order: list[str]) -> DataFrame:

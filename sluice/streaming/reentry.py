@@ -1,8 +1,9 @@
 """Re-entry on a stream: new caller facts unblock executions that wait for them.
 
 Each micro-batch of facts joins the stored ones of the same executions, the executions
-are run again, and what they commit is appended. Replay makes a batch that is delivered
-twice harmless.
+are run again, and what they commit is written. What a batch brings and what its run
+commits are two folders named by the batch, which are written over when a batch is
+delivered twice, so neither a replay nor a failure between them leaves a fact twice.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.runtime import Capabilities, execute_all
+from ..operators.runtime import Capabilities, entry_facts, reports
 from ..plans.graph import Graph
 
+SCHEMA = "execution_id string, key string, fact string, batch long, made_by string"
 
-def entry_facts(facts: DataFrame) -> DataFrame:
-    """facts (execution_id, key, fact as JSON) to one JSON map per execution."""
-    entry = F.concat(F.lit("\""), F.col("key"), F.lit("\":"), F.col("fact"))
-    return facts.groupBy("execution_id").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_set(entry)), ","), F.lit("}")).alias("facts"))
+
+def stored_facts(spark, path: str) -> DataFrame:
+    """The facts so far: execution_id, key, fact, batch, made_by (caller or run)."""
+    return spark.read.schema(SCHEMA).parquet(path)
 
 
 def on_batch(graph: Graph, path: str, caps: Callable[[], Capabilities] = Capabilities) -> Callable[[DataFrame, int], None]:
@@ -27,10 +29,12 @@ def on_batch(graph: Graph, path: str, caps: Callable[[], Capabilities] = Capabil
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.select("execution_id", "key", "fact").write.mode("append").parquet(path)
-        stored = spark.read.parquet(path).join(batch.select("execution_id").distinct(), "execution_id", "left_semi").distinct()
-        rows = execute_all(graph, entry_facts(stored), caps)
-        new = rows.filter("outcome = 'executed'").select("execution_id", "key", F.col("output").alias("fact"))
-        new.write.mode("append").parquet(path)
+        folder = lambda by: f"{path}/batch={batch_id}/made_by={by}"
+        batch.select("execution_id", "key", "fact").write.mode("overwrite").parquet(folder("caller"))
+        brought = spark.read.schema("execution_id string, key string, fact string").parquet(folder("caller"))
+        # A batch that comes again does not read what its own run has written before.
+        known = stored_facts(spark, path).filter((F.col("batch") < batch_id) | (F.col("batch") == batch_id) & (F.col("made_by") == "caller"))
+        known = known.join(brought.select("execution_id").distinct(), "execution_id", "left_semi").select("execution_id", "key", "fact").distinct()
+        reports(graph, entry_facts(known), caps).facts.select("execution_id", "key", "fact").write.mode("overwrite").parquet(folder("run"))
 
     return run
