@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from .functions import values as V
 from .operators import facts as FT
-from .operators.columns import Emission, lower_graph, value
-from .operators.fanout import exploded, in_place
-from .operators.migrate import classify, new_positions
-from .operators.runtime import Capabilities, execute_all
-from .plans.graph import Graph, compile_graph
-from .plans.predicates import Typed, lower, parse, tree_of
+from .operators.columns import Emission, Lowered, lower_graph, retried, value
+from .operators.fanout import exploded
+from .operators.migrate import classify, migrate, new_positions
+from .operators.runtime import Capabilities, drive, execute_all, reports
+from .plans.generator import SplitMix64, generate
+from .plans.graph import Graph, classes_frame, compile_graph, diagnostics_frame
+from .plans.predicates import Typed, column_of, holds, parse, resolve, tree_of
 from .plans.registry import Registry, contract, stock_registry
-from .sources.documents import ingested
+from .sources.documents import ingested, manifest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,13 +48,7 @@ def _str(c: str) -> Typed:
 def _predicate(text: str | dict, **columns: Typed) -> Column:
     tree = parse(text) if isinstance(text, str) else tree_of(text)
 
-    def resolve(path: list) -> Typed | None:
-        t = columns.get(path[0])
-        for seg in path[1:]:
-            t = None if t is None else Typed(F.get(t.column, F.lit(seg)) if isinstance(seg, int) else t.column[seg], "number")
-        return t
-
-    return lower(tree, resolve).column
+    return holds(tree, lambda path: resolve(columns.get(path[0]), path[1:]))
 
 
 def _graph(nodes: list[dict], exports: dict[str, str], inputs: dict[str, dict] | None = None, registry: Registry | None = None) -> Graph:
@@ -142,7 +137,8 @@ def _orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("pred_size", "SELECT CASE WHEN n > 4 THEN 'long' WHEN n >= 1 THEN 'some' ELSE 'none' END AS size_class, count(*) AS n FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) GROUP BY 1")
 def pred_size(spark, sf_dir):
-    df = _orders_lines(spark, sf_dir)
+    lines = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("q"))
+    df = _read(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").withColumn("q", F.coalesce("q", F.array().cast("array<int>")))
     lines = Typed(F.col("q"), "list")
     label = F.when(_predicate("size(q) > 4", q=lines), "long").when(_predicate("size(q) >= 1", q=lines), "some").otherwise("none")
     return df.groupBy(label.alias("size_class")).agg(F.count(F.lit(1)).alias("n"))
@@ -155,11 +151,13 @@ def column_registry() -> Registry:
     out = stock_registry()
     one = [{"name": "in"}]
     out.routines |= {
-        "q/limit@1": contract([*one, {"name": "most", "configEligible": True}], [{"port": "value"}], "pure"),
+        "q/limit@1": contract([*one, {"name": "most", "configEligible": True, "optional": True}], [{"port": "value"}], "pure"),
         "q/double@1": contract(one, [{"port": "value"}], "pure"),
         "q/sum@1": contract(one, [{"port": "value"}], "pure"),
         "q/split@1": contract(one, [{"port": "low"}, {"port": "high"}], "pure"),
         "q/count@1": contract(one, [{"port": "value"}], "pure"),
+        "q/again@1": contract(one, [{"port": "value"}], "pure"),
+        "q/share@1": contract([*one, {"name": "of"}], [{"port": "value"}], "pure"),
     }
     return out
 
@@ -180,8 +178,13 @@ BODIES = {
     "q/sum@1": lambda env, params: value(Typed(F.aggregate(env["in"].column, F.lit(0.0), lambda a, x: a + x), "number")),
     "q/count@1": lambda env, params: value(Typed(F.aggregate(env["in"].column, F.lit(0), lambda a, x: a + F.when(x["status"] == "ok", 1).otherwise(0)), "number")),
     "q/split@1": _split,
+    "q/again@1": lambda env, params: retried(lambda k: (env["in"], F.when(env["in"].column > k, "q/again"), F.lit(True)), params["$maxAttempts"]),
+    "q/share@1": lambda env, params: value(Typed(env["in"].column / env["of"].column, "number")),
+    "vec/const@1": lambda env, params: value(Typed(F.lit(params["value"]), "string" if isinstance(params["value"], str) else "number")),
     "vec/echo@1": lambda env, params: value(env["in"]),
     "vec/scrub@1": lambda env, params: value(Typed(F.lit("scrubbed"), "string")),
+    "vec/flaky@1": lambda env, params: retried(lambda k: (env["value"], F.lit("vec/again" if k < params["succeed_on"] else None).cast("string"), F.lit(True)), params["$maxAttempts"]),
+    "vec/failif@1": lambda env, params: value(env["in"], F.when(env["in"].column == params["when"], F.lit(params["code"]))),
 }
 _PRICE = {"p": {}}
 
@@ -271,34 +274,64 @@ def _over_45(x: Column) -> tuple[Column, Column]:
     return x * 2, F.when(x > 45, "q/over")
 
 
-def _counts(df: DataFrame) -> DataFrame:
-    n = lambda s: F.size(F.filter("m__gather", lambda e: e["status"] == s)).cast("long")
+def _lines_graph(spark, sf_dir, absorb: bool, lines: DataFrame | None = None) -> Lowered:
+    """Every quantity of an order through the body q/limit@1, in place."""
+    node = {"id": "m", "routine": "q/limit@1", "params": {"most": 45}, "absorb": absorb, "in": {"in": "$input.q[*]"}}
+    g = _graph([node], {"m": "m"}, {"q": {}})
+    df = _orders_lines(spark, sf_dir) if lines is None else lines
+    return lower_graph(g, df, {"q": Typed(F.col("q"), "list", Typed(None, "number"))}, BODIES)
+
+
+def _counts(df: DataFrame, gather: str) -> DataFrame:
+    n = lambda s: F.size(F.filter(gather, lambda e: e["status"] == s)).cast("long")
     return df.select("o_orderkey", n("ok").alias("n_ok"), n("error").alias("n_error"))
 
 
 @_query("fanout_transform", _FAN)
 def fanout_transform(spark, sf_dir):
-    return _counts(in_place(_orders_lines(spark, sf_dir), "q", _over_45, "m", absorb=True))
+    return _counts(_lines_graph(spark, sf_dir, True).df, "m__v")
 
 
 @_query("fanout_explode", _FAN)
 def fanout_explode(spark, sf_dir):
-    return _counts(exploded(_orders_lines(spark, sf_dir), "o_orderkey", "q", _over_45, "m", absorb=True))
+    return _counts(exploded(_orders_lines(spark, sf_dir), "o_orderkey", "q", _over_45, "m", absorb=True), "m__gather")
 
 
 @_query("fanout_fail_lowest", f"SELECT o_orderkey, CASE WHEN len(list_filter(q, lambda x: x > 45)) > 0 THEN 'kernel/fanout_child' END AS error, (list_position(list_transform(q, lambda x: x > 45), true) - 1)::BIGINT AS failed_index FROM ({_LINES})")
 def fanout_fail_lowest(spark, sf_dir):
-    df = in_place(_orders_lines(spark, sf_dir), "q", _over_45, "m")
-    return df.select("o_orderkey", F.col("m__error").alias("error"), F.col("m__failed_index").cast("long").alias("failed_index"))
+    return _lines_graph(spark, sf_dir, False).df.select("o_orderkey", F.col("m__e").alias("error"), F.col("m__i").cast("long").alias("failed_index"))
 
 
 @_query("fanout_bind_miss", "SELECT event_type, count(*) AS n, count(*) FILTER (event_type = 'click') AS missed FROM events GROUP BY 1")
 def fanout_bind_miss(spark, sf_dir):
     """A child whose bound path is missing fails with kernel/bind and is not invoked."""
-    df = _with_k(spark, sf_dir).withColumn("items", F.array("k"))
-    got = in_place(df, "items", lambda x: (x * 2, F.when(x.isNull(), "kernel/bind")), "m", absorb=True)
-    missed = F.size(F.filter("m__gather", lambda e: F.coalesce(e["code"] == "kernel/bind", F.lit(False)))) > 0
-    return got.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(missed).alias("missed"))
+    df = _with_k(spark, sf_dir).withColumn("items", F.array(F.struct("k")))
+    g = _graph([{"id": "m", "routine": "q/double@1", "bind": {"in": "k"}, "absorb": True, "in": {"items": "$input.items[*]"}}], {"m": "m"}, {"items": {}})
+    low = lower_graph(g, df, {"items": column_of(df, "items")}, BODIES)
+    missed = F.size(F.filter("m__v", lambda e: F.coalesce(e["code"] == "kernel/bind", F.lit(False)))) > 0
+    return low.df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(missed).alias("missed"))
+
+
+@_query("fanout_broadcast", f"SELECT o_orderkey, round(list_sum(list_transform(q, lambda x: x / 50)), 6) AS total FROM ({_LINES})")
+def fanout_broadcast(spark, sf_dir):
+    """The bound field of each element against an input that all children share."""
+    df = _orders_lines(spark, sf_dir).withColumn("items", F.transform("q", lambda x: F.struct(F.struct(x.alias("n")).alias("q"))))
+    nodes = [{"id": "c", "routine": "vec/const@1", "params": {"value": 50}}, {"id": "m", "routine": "q/share@1", "bind": {"in": "q.n"}, "in": {"items": "$input.items[*]", "of": "c"}}]
+    low = lower_graph(_graph(nodes, {"m": "m"}, {"items": {}}), df, {"items": column_of(df, "items")}, BODIES)
+    total = F.aggregate("m__v", F.lit(0.0), lambda a, e: a + e["value"])
+    return low.df.select("o_orderkey", F.round(F.when(F.size("q") > 0, total), 6).alias("total"))
+
+
+@_query("fanout_graph_column", f"SELECT o_orderkey, list_sum(list_transform(list_filter(q, lambda x: x <= 45), lambda x: x * 2)) AS total, CASE WHEN len(list_filter(q, lambda x: x > 45)) > 0 THEN 'cancelled' END AS code FROM ({_LINES})")
+def fanout_graph_column(spark, sf_dir):
+    """A graph as body of a fan-out, in place: a failure within a child cancels its export."""
+    reg = column_registry()
+    reg.graphs["q/body@1"] = ({"name": "body", "inputs": {"x": {}}, "nodes": [{"id": "lim", "routine": "q/limit@1", "params": {"most": 45}, "in": {"in": "$input.x"}}, {"id": "two", "routine": "q/double@1", "in": {"in": "lim"}}], "exports": [{"name": "out", "from": "two"}]}, None)
+    g = _graph([{"id": "m", "species": "map", "body": "q/body@1", "over": "x", "absorb": True, "in": {"x": "$input.q"}}], {"m": "m"}, {"q": {}}, reg)
+    low = lower_graph(g, _orders_lines(spark, sf_dir), {"q": Typed(F.col("q"), "list", Typed(None, "number"))}, BODIES)
+    good = F.filter("m__v", lambda e: e["status"] == "ok")
+    total = F.aggregate(good, F.lit(0.0), lambda a, e: a + e["value"]["out"])
+    return low.df.select("o_orderkey", F.when(F.size(good) > 0, total).alias("total"), F.array_min(F.transform(F.filter("m__v", lambda e: e["status"] == "error"), lambda e: e["code"])).alias("code"))
 
 
 def _sql_u64(n: str) -> str:
@@ -405,8 +438,8 @@ def migrate_new(spark, sf_dir):
 def _flaky_graph() -> Graph:
     return _graph(
         [
-            {"id": "v", "routine": "vec/flaky@1", "params": {"succeed_on": 2}, "retry": {"maxAttempts": 3}, "in": {"in": "$input.x"}},
-            {"id": "f", "routine": "vec/failif@1", "params": {"when": "error"}, "in": {"in": "$input.x"}},
+            {"id": "v", "routine": "vec/flaky@1", "params": {"succeed_on": 2}, "retry": {"maxAttempts": 3}, "in": {"value": "$input.x"}},
+            {"id": "f", "routine": "vec/failif@1", "params": {"when": "error", "code": "q/error"}, "in": {"in": "$input.x"}},
             {"id": "e", "routine": "vec/echo@1", "in": {"in": "f"}},
         ],
         {"a": "v", "b": "e"},
@@ -444,11 +477,9 @@ def fanout_graph_body(spark, sf_dir):
     return joined.groupBy("event_type").agg(F.count_if(F.col("key").rlike("^m/[0-9]+$")).alias("children"), F.count_if(F.col("key") == "m").alias("gathers"))
 
 
-@_query("ingest_canonical", "SELECT event_id AS key, props::JSON::VARCHAR AS raw, NULL::VARCHAR AS reject_reason FROM events")
+@_query("ingest_canonical", "SELECT event_id AS key, replace(props, ' ', '') AS canonical, NULL::VARCHAR AS reject_reason FROM events")
 def ingest_canonical(spark, sf_dir):
-    got = ingested(_read(spark, sf_dir, "events"), "event_id", "props")
-    raw = _read(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.col("props").alias("raw"))
-    return raw.join(got.select("key", "reject_reason"), "key").select("key", "raw", "reject_reason")
+    return ingested(_read(spark, sf_dir, "events"), "event_id", "props").select("key", "canonical", "reject_reason")
 
 
 _BAD = ['{"a":1,"a":2}', "9007199254740992", "1e999", '"\\ud800"', "1" * 101, "[" * 65 + "]" * 65]
@@ -459,3 +490,411 @@ def ingest_rejects(spark, sf_dir):
     text = F.element_at(F.array(*map(F.lit, _BAD)), (F.col("event_id") % 6 + 1).cast("int"))
     got = ingested(_read(spark, sf_dir, "events").withColumn("t", text), "event_id", "t")
     return got.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Values.
+
+
+@_query("canonical_render", """SELECT event_id AS key, '{"a":[1,"' || event_type || '"],"b":' || event_id || ',"k":' || replace(props, ' ', '') || '}' AS canonical FROM events""")
+def canonical_render(spark, sf_dir):
+    """Sorted keys, no white space, integral numbers as integers."""
+    text = F.concat(F.lit('{"b": '), F.col("event_id"), F.lit(', "a" : [1.0, "'), F.col("event_type"), F.lit('"], "k":'), F.col("props"), F.lit("}"))
+    return ingested(_read(spark, sf_dir, "events").withColumn("t", text), "event_id", "t").select("key", "canonical")
+
+
+@_query("number_unify", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity % 2 = 0 THEN (l_quantity / 2)::BIGINT::VARCHAR ELSE (l_quantity / 2)::VARCHAR END AS number FROM lineitem")
+def number_unify(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", V.unified(F.col("l_quantity") / 2).alias("number"))
+
+
+@_query("json_pointer", "SELECT event_id, event_id AS first, CAST(json_extract_string(props, '$.k') AS BIGINT) AS second, false AS third FROM events")
+def json_pointer(spark, sf_dir):
+    v = F.parse_json(F.concat(F.lit('{"a/b":[{"~":'), F.col("event_id"), F.lit("},"), F.col("props"), F.lit("]}")))
+    df = _read(spark, sf_dir, "events").withColumn("v", v)
+    at = lambda path: V.pointer_in(F.col("v"), path)
+    return df.select("event_id", at("/a~1b/0/~0").cast("long").alias("first"), at("/a~1b/1/k").cast("long").alias("second"), at("/a~1b/01").isNotNull().alias("third"))
+
+
+@_query("manifest_compare", "SELECT state, count(*) AS n FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'same' WHEN 1 THEN 'changed' ELSE 'extra' END AS state FROM customer UNION ALL SELECT 'missing' FROM customer WHERE c_custkey % 5 = 0) GROUP BY 1")
+def manifest_compare(spark, sf_dir):
+    files = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.col("c_name").cast("binary").alias("content"), "c_custkey")
+    known = files.filter("c_custkey % 3 < 2").select("path", F.when(F.col("c_custkey") % 3 == 0, F.sha2("content", 256)).otherwise("00").alias("sha256"))
+    gone = files.filter("c_custkey % 5 = 0").select(F.concat(F.lit("x"), "path").alias("path"), F.lit("00").alias("sha256"))
+    return manifest(files.select("path", "content"), known.union(gone)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Edges and paths.
+
+_NESTED = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+@_query("path_nested", f"SELECT event_id, CASE WHEN event_id > 50 AND {_NESTED} <= 40 THEN 'a' WHEN event_type = 'click' THEN 'b' ELSE 'c' END AS selected, event_id AS second FROM events")
+def path_nested(spark, sf_dir):
+    """Paths into a VARIANT: in rules, on an edge and on an export."""
+    v = F.parse_json(F.concat(F.lit('{"k":'), F.col("props"), F.lit(',"l":[1,'), F.col("event_id"), F.lit('],"t":"'), F.col("event_type"), F.lit('"}')))
+    df = _read(spark, sf_dir, "events").withColumn("v", v)
+    rules = [{"route": "a", "when": {"expr": "x.l[1] > 50 && x.k.k <= 40"}}, {"route": "b", "when": {"expr": 'absent(x.zz) && x.l.0 == 1 && x.t == "click" && size(x.l) == 2 && x.t != 1'}}]
+    nodes = [{"id": "e", "routine": "vec/echo@1", "in": {"in": "$input.x"}}, {"id": "d", "species": "decision", "rules": rules, "default": "c", "in": {"x": "e"}}, {"id": "l", "routine": "vec/echo@1", "in": {"in": "e.l"}}]
+    low = lower_graph(_graph(nodes, {"selected": "d.selected", "second": "l.1"}, {"x": {}}), df, {"x": column_of(df, "v")}, BODIES)
+    return low.exported("event_id").withColumn("second", F.col("second").cast("long"))
+
+
+@_query("order_edge", "SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'cancelled' ELSE 'executed' END AS outcome, CASE WHEN o_totalprice > 150000 THEN 'failed' END AS cause_kind FROM orders")
+def order_edge(spark, sf_dir):
+    """A node that only has to come after another goes with it."""
+    low = _price_graph(spark, sf_dir, [_LIMIT, _TWICE | {"needs": ["a"]}], {"x": "a", "y": "b"})
+    return low.df.select("o_orderkey", F.col("b__o").alias("outcome"), F.col("b__ck").alias("cause_kind"))
+
+
+@_query("retry_attempts", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 3 THEN 'executed' ELSE 'failed' END AS outcome, least(l_linenumber, 3)::BIGINT AS attempts, CASE WHEN l_linenumber > 3 THEN 'q/again' END AS code FROM lineitem")
+def retry_attempts(spark, sf_dir):
+    """Attempt k succeeds where the line number is at most k; three attempts, unrolled."""
+    g = _graph([{"id": "r", "routine": "q/again@1", "retry": {"maxAttempts": 3}, "in": {"in": "$input.n"}}], {"out": "r"}, {"n": {}})
+    low = lower_graph(g, _read(spark, sf_dir, "lineitem"), {"n": _num("l_linenumber")}, BODIES)
+    return low.df.select("l_orderkey", "l_linenumber", F.col("r__o").alias("outcome"), F.col("r__a").alias("attempts"), F.col("r__e").alias("code"))
+
+
+_OUTCOMES = "SELECT key, CASE WHEN event_type = 'view' THEN 'blocked' WHEN key = 'f' AND event_type = 'error' THEN 'failed' WHEN key = 'e' AND event_type = 'error' THEN 'cancelled' ELSE 'executed' END AS outcome, CASE WHEN event_type <> 'view' AND key = 'v' THEN 2 WHEN event_type = 'error' AND key = 'f' THEN 1 END::BIGINT AS attempts, count(*) AS n FROM events, (VALUES ('v'), ('f'), ('e')) t(key) GROUP BY 1, 2, 3"
+
+
+def _flaky_columns(spark, sf_dir) -> Lowered:
+    df = _read(spark, sf_dir, "events").withColumn("x", F.when(F.col("event_type") != "view", F.col("event_type")))
+    return lower_graph(_flaky_graph(), df, {"x": _str("x")}, BODIES)
+
+
+@_query("column_outcomes", _OUTCOMES)
+def column_outcomes(spark, sf_dir):
+    """The graph of wave_outcomes without leaving the JVM: retries unrolled, absent inputs block."""
+    return _flaky_columns(spark, sf_dir).report("event_id").groupBy("key", "outcome", "attempts").agg(F.count(F.lit(1)).alias("n"))
+
+
+_AWAITED = "SELECT key, CASE WHEN key = 'e' THEN 'f' ELSE '$in/x' END AS awaited, count(*) AS n FROM events, (VALUES ('v'), ('f'), ('e')) t(key) WHERE event_type = 'view' GROUP BY 1, 2"
+
+
+@_query("column_awaiting", _AWAITED)
+def column_awaiting(spark, sf_dir):
+    rows = _flaky_columns(spark, sf_dir).report("event_id")
+    return rows.select("key", F.explode("awaiting").alias("awaited")).groupBy("key", "awaited").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("awaiting_keys", _AWAITED)
+def awaiting_keys(spark, sf_dir):
+    rows = execute_all(_flaky_graph(), _executions(spark, sf_dir))
+    return rows.select("key", F.explode("awaiting").alias("awaited")).groupBy("key", "awaited").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _injected() -> Graph:
+    reg = stock_registry()
+    reg.graphs["q/child@1"] = ({"name": "child", "inputs": {"x": {}}, "nodes": [{"id": "k", "routine": "vec/echo@1", "in": {"in": "$input.x"}}], "exports": [{"name": "out", "from": "k"}]}, None)
+    return _graph([{"id": "i", "species": "invoke", "graph": "q/child@1"}], {"o": "i.out"}, None, reg)
+
+
+_INJECTED = "SELECT event_id, CASE WHEN event_type = 'view' THEN 'blocked' ELSE 'executed' END AS outcome, CASE WHEN event_type <> 'view' THEN event_type END AS out FROM events"
+
+
+@_query("child_injection", _INJECTED)
+def child_injection(spark, sf_dir):
+    """An input of an invoked graph that no edge feeds comes from the fact <node>/$in/<name>."""
+    df = _read(spark, sf_dir, "events").withColumn("x", F.when(F.col("event_type") != "view", F.col("event_type")))
+    low = lower_graph(_injected(), df, {}, BODIES, {"i/$in/x": _str("x")})
+    return low.df.select("event_id", F.col("i__o").alias("outcome"), F.col("i__v_out").alias("out"))
+
+
+@_query("child_injection_waves", _INJECTED)
+def child_injection_waves(spark, sf_dir):
+    facts = F.concat(F.lit('{"i/$in/x":"'), F.col("event_type"), F.lit('"}'))
+    events = _read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("execution_id"), F.when(F.col("event_type") != "view", facts).alias("facts"))
+    rows = execute_all(_injected(), events).filter("key = 'i'")
+    return rows.select(F.col("execution_id").cast("long").alias("event_id"), "outcome", F.get_json_object("output", "$.out").alias("out"))
+
+
+# Waves and their reports.
+
+
+def _echo_graph() -> Graph:
+    return _graph([{"id": "c", "routine": "vec/const@1", "params": {"value": 7}}, {"id": "p", "routine": "vec/pack@1", "in": {"a0": "c", "a1": "$input.x"}}], {"o": "p"}, {"x": {}}, stock_registry())
+
+
+@_query("facts_unified", """SELECT event_id::VARCHAR AS execution_id, '{"a0":7,"a1":' || event_id || '}' AS output FROM events""")
+def facts_unified(spark, sf_dir):
+    """Entry facts are read strictly and take their one form."""
+    events = _read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("execution_id"), F.concat(F.lit('{"$in/x": '), F.col("event_id"), F.lit(".0}")).alias("facts"))
+    return execute_all(_echo_graph(), events).filter("key = 'p'").select("execution_id", "output")
+
+
+_ODD_FACTS = ["{bad", '{"$in/x":NaN}', '{"$in/x":1,"$in/x":2}', '{"$in/x":9007199254740993}', "[]", '{"$in/x":1}']
+
+
+@_query("kernel_error_rows", "SELECT outcome, error_code, count(*) AS n FROM (SELECT CASE event_id % 6 WHEN 5 THEN 'executed' ELSE 'kernel_error' END AS outcome, CASE event_id % 6 WHEN 0 THEN 'ingest/syntax' WHEN 1 THEN 'ingest/syntax' WHEN 2 THEN 'ingest/duplicate_key' WHEN 3 THEN 'ingest/integer_range' WHEN 4 THEN 'ingest/facts_not_a_map' END AS error_code FROM events UNION ALL SELECT 'executed', NULL FROM events WHERE event_id % 6 = 5) GROUP BY 1, 2")
+def kernel_error_rows(spark, sf_dir):
+    """Facts that are no values end their own execution and no other."""
+    text = F.element_at(F.array(*map(F.lit, _ODD_FACTS)), (F.col("event_id") % 6 + 1).cast("int"))
+    events = _read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("execution_id"), text.alias("facts"))
+    return execute_all(_echo_graph(), events).groupBy("outcome", "error_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("report_facts", """SELECT 'c' AS key, '7' AS fact, 'routine' AS species, 'vec/const@1' AS routine, false AS cached, count(*) AS n FROM events
+    UNION ALL SELECT 'p', '{"a0":7,"a1":"' || event_type || '"}', 'routine', 'vec/pack@1', false, count(*) FROM events WHERE event_type <> 'view' GROUP BY 2""")
+def report_facts(spark, sf_dir):
+    facts = reports(_echo_graph(), _executions(spark, sf_dir)).facts
+    return facts.groupBy("key", "fact", "species", "routine", "cached").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("report_summary", """SELECT quiescent, yield_reason, cost_used, count(*) AS n FROM (SELECT event_type IN ('view', 'error') AS quiescent, CASE WHEN event_type NOT IN ('view', 'error') THEN 'single-wave' END AS yield_reason, CASE WHEN event_type = 'view' THEN '{}' ELSE '{"default":1,"effect":2}' END AS cost_used FROM events) GROUP BY 1, 2, 3""")
+def report_summary(spark, sf_dir):
+    summary = reports(_flaky_graph(), _executions(spark, sf_dir), lambda: Capabilities(policy="single-wave")).summary
+    return summary.groupBy("quiescent", "yield_reason", "cost_used").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("observe_events", "SELECT event, CAST(sum(CASE WHEN event_type = 'view' THEN a WHEN event_type = 'error' THEN b ELSE c END) AS BIGINT) AS n FROM events, (VALUES ('execution_started', 1, 1, 1), ('wave_started', 0, 1, 2), ('node_started', 0, 2, 3), ('node_retrying', 0, 1, 1), ('node_settled', 0, 3, 3), ('execution_ended', 1, 1, 1)) t(event, a, b, c) GROUP BY 1")
+def observe_events(spark, sf_dir):
+    events = reports(_flaky_graph(), _executions(spark, sf_dir), observe=True).events
+    return events.groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("row_order", "SELECT ord, key, count(*) AS n FROM events, (VALUES (0, 'f'), (1, 'e'), (2, 'v')) t(ord, key) GROUP BY 1, 2")
+def row_order(spark, sf_dir):
+    """Canonical order: the smallest id whose sources have gone before."""
+    return execute_all(_flaky_graph(), _executions(spark, sf_dir)).groupBy("ord", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("script_policy", "SELECT key, CASE WHEN event_type = 'view' THEN 'blocked' WHEN key = 'f' THEN CASE WHEN event_type = 'error' THEN 'failed' ELSE 'executed' END WHEN key = 'e' AND event_type = 'error' THEN 'cancelled' ELSE 'yielded' END AS outcome, count(*) AS n FROM events, (VALUES ('v'), ('f'), ('e')) t(key) GROUP BY 1, 2")
+def script_policy(spark, sf_dir):
+    rows = execute_all(_flaky_graph(), _executions(spark, sf_dir), lambda: Capabilities(policy="script", config={"waves": [["f"], {"yield": "enough"}]}))
+    return rows.groupBy("key", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("unlawful_policy", "SELECT CASE WHEN event_type = 'view' THEN 'blocked' ELSE 'kernel_error' END AS outcome, CASE WHEN event_type <> 'view' THEN 'kernel/policy' END AS error_code, count(*) * CASE WHEN event_type = 'view' THEN 3 ELSE 1 END AS n FROM (SELECT CASE WHEN event_type = 'view' THEN 'view' ELSE 'x' END AS event_type FROM events) GROUP BY event_type")
+def unlawful_policy(spark, sf_dir):
+    rows = execute_all(_flaky_graph(), _executions(spark, sf_dir), lambda: Capabilities(decide=lambda ready, used, wave: ("run", ["nope"])))
+    return rows.groupBy("outcome", "error_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _odd(env: dict) -> dict:
+    got, nested = env["in"], 0
+    if got == "error":
+        raise ValueError("broken")
+    if got == "click":
+        return {"value": 1, "other": 2}
+    for _ in range(70 if got == "signup" else 0):
+        nested = [nested]
+    return {"value": nested}
+
+
+@_query("crash_convert", "SELECT CASE event_type WHEN 'view' THEN 'blocked' WHEN 'purchase' THEN 'executed' ELSE 'failed' END AS outcome, CASE event_type WHEN 'error' THEN 'kernel/crash' WHEN 'click' THEN 'kernel/emission' WHEN 'signup' THEN 'kernel/bounds' END AS error_code, count(*) AS n FROM events GROUP BY 1, 2")
+def crash_convert(spark, sf_dir):
+    """A routine that raises, emits what it did not declare, or breaks a bound fails; the job goes on."""
+    reg = stock_registry()
+    reg.routines["q/odd@1"], reg.implementations["q/odd@1"] = contract([{"name": "in"}], [{"port": "value"}]), _odd
+    g = _graph([{"id": "o", "routine": "q/odd@1", "retry": {"maxAttempts": 3}, "in": {"in": "$input.x"}}], {"out": "o"}, {"x": {}}, reg)
+    return execute_all(g, _executions(spark, sf_dir)).groupBy("outcome", "error_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("replay_rows", "SELECT key, CASE WHEN event_type = 'view' AND key <> 'v' OR key = 'f' THEN CASE WHEN key = 'f' THEN 'skipped' ELSE 'executed' END WHEN event_type = 'view' THEN 'blocked' ELSE 'executed' END AS outcome, count(*) AS n FROM events, (VALUES ('v'), ('f'), ('e')) t(key) GROUP BY 1, 2")
+def replay_rows(spark, sf_dir):
+    """A settled node is skipped and its fact is read, whatever its inputs are now."""
+    kept = F.concat(F.lit('{"f":"kept"'), F.when(F.col("event_type") != "view", F.concat(F.lit(',"$in/x":"'), F.col("event_type"), F.lit('"'))).otherwise(""), F.lit("}"))
+    events = _read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("execution_id"), kept.alias("facts"))
+    return execute_all(_flaky_graph(), events).groupBy("key", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("memo_runtime", "SELECT event_type, true AS cached, count(*) AS n, (SELECT count(DISTINCT event_type) + 1 FROM events WHERE event_type <> 'view') AS entries FROM events WHERE event_type <> 'view' GROUP BY 1")
+def memo_runtime(spark, sf_dir):
+    """What one run computes is a table of as many rows as there are distinct calls; the next run takes all from it."""
+    events = _executions(spark, sf_dir).withColumn("memo", F.lit("{}"))
+    memo = reports(_echo_graph(), events).memo
+    rows = reports(_echo_graph(), events.drop("memo"), memo=memo).rows.filter("key = 'p' and outcome = 'executed'")
+    counted = rows.groupBy(F.get_json_object("output", "$.a1").alias("event_type"), "cached").agg(F.count(F.lit(1)).alias("n"))
+    return counted.crossJoin(memo.agg(F.count(F.lit(1)).alias("entries")))  # one row
+
+
+@_query("drive_calls", "SELECT CASE WHEN event_type IN ('view', 'error') THEN 1 ELSE 2 END AS calls, true AS quiescent, count(*) AS n FROM events GROUP BY 1")
+def drive_calls(spark, sf_dir):
+    """The embedder's loop: executions that yield are called again with what they have committed."""
+    _, summaries = drive(_flaky_graph(), _executions(spark, sf_dir), lambda: Capabilities(policy="single-wave"))
+    return summaries.groupBy("calls", "quiescent").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("seal_vault", f"""SELECT {_SQL_STRING('c_name')} AS content_hash, '"' || c_name || '"' AS subject, '"' || c_name || '"' AS value FROM customer""")
+def seal_vault(spark, sf_dir):
+    """A personal fact leaves its plain value in the vault and its hash in the facts."""
+    g = _graph([{"id": "s", "routine": "vec/sense@1", "in": {"in": "$input.who"}}], {"o": "s"}, {"who": {"subject": True}}, stock_registry())
+    people = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("execution_id"), F.concat(F.lit('{"$in/who":"'), F.col("c_name"), F.lit('"}')).alias("facts"))
+    return reports(g, people, vault=True).sealed.select("content_hash", "subject", "value")
+
+
+@_query("idempotency_runtime", f"""SELECT o_orderkey::VARCHAR AS execution_id, '{{"key":"' || {_SQL_LIST(_SQL_STRING('o_orderkey::VARCHAR'), _SQL_STRING(chr(39) + 'k' + chr(39)))} || '"}}' AS output FROM orders""")
+def idempotency_runtime(spark, sf_dir):
+    g = _graph([{"id": "k", "routine": "vec/keyecho@1"}], {"o": "k"}, None, stock_registry())
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("execution_id"), F.lit(None).cast("string").alias("facts"))
+    return execute_all(g, orders).select("execution_id", "output")
+
+
+_STOCK = """('c', 'executed', NULL, '7', NULL, NULL), ('e', 'executed', NULL, '7', NULL, NULL), ('p', 'executed', NULL, '{"a0":7}', NULL, NULL), ('t', 'executed', NULL, '{"a":1,"b":"x"}', NULL, NULL),
+    ('s', 'executed', NULL, '"scrubbed"', NULL, NULL), ('x', 'failed', 1, NULL, 't/x', 'said'), ('fl', 'executed', 2, '5', NULL, NULL), ('fm', 'failed', 2, NULL, 'vec/again', 'not yet'),
+    ('fi', 'failed', 1, NULL, 't/y', 'matched'), ('fo', 'executed', NULL, '7', NULL, NULL), ('d', 'executed', NULL, '[[0]]', NULL, NULL)"""
+
+
+@_query("stock_routines", f"SELECT key, outcome, attempts::BIGINT AS attempts, output, error_code, error_message, n FROM (VALUES {_STOCK}) t(key, outcome, attempts, output, error_code, error_message), (SELECT count(*) AS n FROM nation)")
+def stock_routines(spark, sf_dir):
+    nodes = [
+        {"id": "c", "routine": "vec/const@1", "params": {"value": 7}},
+        {"id": "e", "routine": "vec/echo@1", "in": {"in": "c"}},
+        {"id": "p", "routine": "vec/pack@1", "in": {"a0": "c"}},
+        {"id": "t", "routine": "vec/two@1", "params": {"a": 1, "b": "x"}},
+        {"id": "s", "routine": "vec/scrub@1", "in": {"in": "c"}},
+        {"id": "x", "routine": "vec/fail@1", "params": {"code": "t/x", "message": "said", "retryable": False}, "retry": {"maxAttempts": 3}},
+        {"id": "fl", "routine": "vec/flaky@1", "params": {"value": 5, "succeed_on": 2}, "retry": {"maxAttempts": 2}},
+        {"id": "fm", "routine": "vec/flaky@1", "params": {"value": 5, "succeed_on": 3}, "retry": {"maxAttempts": 2}},
+        {"id": "fi", "routine": "vec/failif@1", "params": {"when": 7, "code": "t/y"}, "in": {"in": "c"}},
+        {"id": "fo", "routine": "vec/failif@1", "params": {"when": 8, "code": "t/y"}, "in": {"in": "c"}},
+        {"id": "d", "routine": "vec/deep@1", "params": {"n": 2}},
+    ]
+    g = _graph(nodes, {n["id"]: n["id"] for n in nodes}, None, stock_registry())
+    each = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("execution_id"), F.lit(None).cast("string").alias("facts"))
+    return execute_all(g, each).groupBy("key", "outcome", "attempts", "output", "error_code", "error_message").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Migration.
+
+
+def _numbered(reg: Registry) -> Graph:
+    """A graph whose invoked child has a node named 3, beside a fan-out."""
+    reg.graphs["q/child@1"] = ({"name": "child", "renames": {"old": "3"}, "inputs": {"x": {}}, "nodes": [{"id": "3", "routine": "vec/echo@1", "in": {"in": "$input.x"}}], "exports": [{"name": "out", "from": "3"}]}, None)
+    nodes = [{"id": "i", "species": "invoke", "graph": "q/child@1", "in": {"x": "$input.p"}}, {"id": "m", "routine": "vec/echo@1", "in": {"in": "$input.p[*]"}}]
+    return _graph(nodes, {"a": "i", "b": "m"}, _PRICE, reg)
+
+
+_NUMBERED = "('i/3', 'carry', 'i/3', 'i/3'), ('i/old', 'rename', 'i/3', 'i/3'), ('i/4', 'orphan', NULL, NULL), ('m/0', 'carry', 'm/0', 'm/0'), ('m/12', 'carry', 'm/12', 'm/12'), ('m/x', 'orphan', NULL, NULL), ('m/1/y', 'orphan', NULL, NULL), ('i/$in/x', 'caller', 'i/$in/x', 'i/$in/x')"
+
+
+def _numbered_facts(spark, sf_dir, g: Graph) -> DataFrame:
+    of = {"i": g.nodes["i"].child.derivations["3"], "m": g.derivations["m"]}
+    keys = ["i/3", "i/old", "i/4", "m/0", "m/12", "m/x", "m/1/y", "i/$in/x"]
+    facts = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(of[k[0]]).alias("derivation"), F.lit(k).alias("node")) for k in keys])
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("execution_id"), F.explode(facts).alias("f")).select("execution_id", "f.*")
+
+
+@_query("migrate_positions", f"SELECT o_orderkey AS execution_id, key, classification, new_key FROM orders, (VALUES {_NUMBERED}) t(key, classification, new_key, node)")
+def migrate_positions(spark, sf_dir):
+    """Below a fan-out a number is an index, in an invoked graph it is a name; renames of a child apply in the child."""
+    g = _numbered(stock_registry())
+    return classify(_numbered_facts(spark, sf_dir, g), g).select("execution_id", "key", "classification", "new_key")
+
+
+@_query("migrate_carry", f"SELECT o_orderkey AS execution_id, new_key AS key, node FROM orders, (VALUES {_NUMBERED}) t(key, classification, new_key, node) WHERE new_key IS NOT NULL")
+def migrate_carry(spark, sf_dir):
+    """The facts that survive, with their provenance under the new names."""
+    g = _numbered(stock_registry())
+    return migrate(_numbered_facts(spark, sf_dir, g), g).select("execution_id", "key", "node")
+
+
+# Compilation.
+
+_C, _E = {"id": "c", "routine": "vec/const@1", "params": {"value": 1}}, {"id": "e", "routine": "vec/echo@1", "in": {"in": "c"}}
+
+
+def _odd_specs() -> dict[str, dict]:
+    """For each diagnostic a spec that has it."""
+    spec = lambda nodes, exports=(("o", "e"),), **more: {"name": "g", "nodes": nodes, "exports": [{"name": a, "from": b} for a, b in exports], **more}
+    rule = lambda when, default="lo", route="hi": {"id": "d", "species": "decision", "rules": [{"route": route, "when": when}], "default": default, "in": {"x": "c"}}
+    decides = lambda when, **more: spec([_C, rule(when, **more)], (("o", "d"),))
+    many = lambda n: {"kind": "all", "of": [{"kind": "compare", "path": ["x"], "op": "eq", "value": k} for k in range(n)]}
+    return {
+        "E_SCHEMA": spec([_C | {"odd": 1}, _E]),
+        "E_IDENT": spec([_C, _E], name="G!"),
+        "E_NODE_DUP": spec([_C, _C, _E]),
+        "E_EXPORT_DUP": spec([_C, _E], (("o", "e"), ("o", "c"))),
+        "E_REF_UNKNOWN": spec([_C, _E | {"routine": "no/such@1"}]),
+        "E_DECISION_ROUTE_DUP": decides({"expr": "x > 1"}, default="hi"),
+        "E_ENDPOINT_PARSE": spec([_C, _E | {"in": {"in": "c..x"}}]),
+        "E_EDGE_UNKNOWN_NODE": spec([_C, _E | {"in": {"in": "zz"}}], (("o", "e"), ("p", "c"))),
+        "E_EDGE_UNKNOWN_PORT": spec([{"id": "t", "routine": "vec/two@1"}, _E | {"in": {"in": "t.zz"}}]),
+        "E_EDGE_UNKNOWN_INPUT": spec([_C, _E | {"in": {"in": "c", "zz": "c"}}]),
+        "E_INPUT_UNDECLARED": spec([_E | {"in": {"in": "$input.q"}}]),
+        "E_ORDER_PATH": spec([_C, _E | {"needs": ["c.x"]}]),
+        "E_GATE_UNKNOWN_ROUTE": spec([_C, rule({"expr": "x > 1"}), _E | {"needs": ["d.route.zz"]}], (("o", "e"), ("p", "d"))),
+        "E_DUP_BINDING": spec([_C, _E | {"in": {"in": ["c", "c"]}}]),
+        "E_JOIN_INVALID": spec([_C, _E | {"joins": {"zz": "all"}}]),
+        "E_SHAPE_MISMATCH": spec([{"id": "c", "routine": "t/str@1"}, {"id": "e", "routine": "t/num@1", "in": {"in": "c"}}]),
+        "E_CYCLE": spec([{"id": "c", "routine": "vec/echo@1", "in": {"in": "e"}}, _E]),
+        "E_UNREACHABLE": spec([_C, _E, {"id": "u", "routine": "vec/pack@1"}]),
+        "E_EXPORT_UNKNOWN": spec([_C, _E], (("o", "e"), ("p", "zz"))),
+        "E_PARAM_UNDECLARED": spec([_C, _E | {"params": {"in": 2}, "in": {}}], (("o", "e"), ("p", "c"))),
+        "E_PARAM_INPUT_COLLISION": spec([_C, {"id": "e", "routine": "vec/const@1", "params": {"value": 2}, "in": {"value": "c"}}]),
+        "E_INPUT_UNBOUND": spec([{"id": "e", "routine": "vec/echo@1"}]),
+        "E_FANOUT_BIND": spec([_C, {"id": "e", "routine": "t/pair@1", "in": {"a": "c[*]", "b": "c"}}]),
+        "E_PRED_PARSE": decides({"expr": "x >"}),
+        "E_PRED_COMPUTES": decides({"expr": "x + x == 1"}),
+        "E_PRED_REF": decides({"expr": "y == 1"}),
+        "E_PRED_TOO_COMPLEX": decides(many(16)),
+        "E_MATCH_INVALID": decides({"kind": "compare", "path": ["x"], "op": "lt", "value": True}),
+        "E_SENS_NO_SUBJECT": spec([_C, {"id": "e", "routine": "vec/sense@1", "in": {"in": "c"}}]),
+        "E_SENS_LEAK": spec([_C, _E], distribution="client"),
+        "L_INPUT_UNUSED": spec([_C, _E], inputs={"q": {}}),
+        "L_RULE_SHADOWED": spec([_C, {"id": "d", "species": "decision", "rules": [{"route": "a", "when": {"expr": "x > 1"}}, {"route": "b", "when": {"expr": "x > 2"}}], "default": "z", "in": {"x": "c"}}], (("o", "d"),)),
+        "none": decides(many(15)),  # 2 and 4 for each comparison: 62 of 64
+    }
+
+
+_DIAGNOSED = """('E_SCHEMA', 'node:c'), ('E_IDENT', 'graph'), ('E_NODE_DUP', 'node:c'), ('E_EXPORT_DUP', 'export:o'), ('E_REF_UNKNOWN', 'node:e'), ('E_DECISION_ROUTE_DUP', 'node:d'), ('E_ENDPOINT_PARSE', 'edge:d:e:in:0'),
+    ('E_EDGE_UNKNOWN_NODE', 'edge:d:e:in:0'), ('E_EDGE_UNKNOWN_PORT', 'edge:d:e:in:0'), ('E_EDGE_UNKNOWN_INPUT', 'edge:d:e:zz:0'), ('E_INPUT_UNDECLARED', 'edge:d:e:in:0'), ('E_ORDER_PATH', 'edge:o:e:0'),
+    ('E_GATE_UNKNOWN_ROUTE', 'edge:o:e:0'), ('E_DUP_BINDING', 'node:e/input:in'), ('E_JOIN_INVALID', 'node:e/input:zz'), ('E_SHAPE_MISMATCH', 'node:e/input:in'), ('E_CYCLE', 'graph'), ('E_UNREACHABLE', 'node:u'),
+    ('E_EXPORT_UNKNOWN', 'export:p'), ('E_PARAM_UNDECLARED', 'node:e/param:in'), ('E_PARAM_INPUT_COLLISION', 'node:e/param:value'), ('E_INPUT_UNBOUND', 'node:e/input:in'), ('E_FANOUT_BIND', 'node:e'),
+    ('E_PRED_PARSE', 'node:d/rule:0'), ('E_PRED_COMPUTES', 'node:d/rule:0'), ('E_PRED_REF', 'node:d/rule:0'), ('E_PRED_TOO_COMPLEX', 'node:d/rule:0'), ('E_MATCH_INVALID', 'node:d/rule:0'), ('E_SENS_NO_SUBJECT', 'graph'),
+    ('E_SENS_LEAK', 'graph'), ('L_INPUT_UNUSED', 'input:q'), ('L_RULE_SHADOWED', 'node:d/rule:1')"""
+
+
+@_query("diagnostics", f"SELECT code AS spec, code, CASE WHEN code LIKE 'E%' THEN 'error' ELSE 'lint' END AS severity, address FROM (VALUES {_DIAGNOSED}) t(code, address)")
+def diagnostics(spark, sf_dir):
+    """Every diagnostic, of the spec that is made to have it; the spec named none has none at all."""
+    reg = stock_registry()
+    port = lambda kind: [{"port": "value", "shape": {"kind": kind}}]
+    reg.routines |= {"t/str@1": contract([], port("string"), "pure"), "t/num@1": contract([{"name": "in", "shape": {"kind": "number"}}], port("any"), "pure"), "t/pair@1": contract([{"name": "a"}, {"name": "b"}], port("any"), "pure")}
+    found = diagnostics_frame(spark, _odd_specs(), reg)
+    return found.filter("code = spec or spec = 'none'").select("spec", "code", "severity", "address").distinct()
+
+
+@_query("canonical_edges", "SELECT * FROM (VALUES ('sugar', 'd:e:in:0', 'data', 'c', 'e.in', true), ('sugar', 'd:m:in:0', 'data', 'e', 'm.in', true), ('sugar', 'o:m:0', 'order', 'c', 'm', true), ('plain', 'd:e:in:0', 'data', 'c', 'e.in', true), ('plain', 'd:m:in:0', 'data', 'e', 'm.in', true), ('plain', 'o:m:0', 'order', 'c', 'm', true)) t(written, id, kind, source, target, same_hash)")
+def canonical_edges(spark, sf_dir):
+    """A graph written with sugar and one written out have one canonical form and one hash."""
+    exports = [{"name": "o", "from": "m"}]
+    forms = {
+        "sugar": {"name": "g", "nodes": [{"id": "m", "routine": "vec/echo@1", "in": {"in": "e[*]"}, "needs": ["c"]}, _E, _C], "exports": exports},
+        "plain": {"name": "g", "nodes": [_C, {"id": "e", "species": "routine", "routine": "vec/echo@1"}, {"id": "m", "species": "map", "body": "vec/echo@1", "over": "in"}], "exports": exports, "edges": [{"kind": "order", "from": "c", "to": "m"}, {"kind": "data", "from": "e", "to": "m.in"}, {"kind": "data", "from": "c", "to": "e.in"}]},
+    }
+    graphs = {k: compile_graph(x, stock_registry()) for k, x in forms.items()}
+    same = len({g.hash for g in graphs.values()}) == 1
+    return spark.createDataFrame([(k, e["id"], e["kind"], e["from"], e["to"], same) for k, g in graphs.items() for e in g.spec["edges"]], "written string, id string, kind string, source string, target string, same_hash boolean")
+
+
+_SQL_LITERAL = lambda x: _SQL_STRING(f"'{x}'")
+_SQL_MAP = lambda **h: "sha256(unhex('07') || " + _sql_u64(str(len(h))) + "".join(f" || unhex({_SQL_LITERAL(k)}) || unhex({h[k]})" for k in sorted(h)) + ")"
+_SQL_SEVEN = "sha256(unhex('0300' || '0000000000000001' || '07'))"
+_SQL_CONST = _SQL_MAP(inputs=_SQL_MAP(), species=_SQL_LITERAL("routine"), routine=_SQL_LITERAL("vec/const@1"), params=_SQL_MAP(value=_SQL_SEVEN))
+
+
+@_query("derivation_hash", f"SELECT 'c' AS node, {_SQL_CONST} AS derivation")
+def derivation_hash(spark, sf_dir):
+    """The hash of a node's recipe, put together again from hashes of its parts."""
+    return spark.createDataFrame([("c", _echo_graph().derivations["c"])], "node string, derivation string")
+
+
+@_query("sensitivity_classes", "SELECT * FROM (VALUES ('input', 'who', 'internal'), ('node', 's', 'pii'), ('node', 'e', 'pii'), ('node', 'x', 'public'), ('export', 'a', 'pii'), ('export', 'b', 'public')) t(kind, name, class)")
+def sensitivity_classes(spark, sf_dir):
+    nodes = [{"id": "s", "routine": "vec/sense@1", "in": {"in": "$input.who"}}, {"id": "e", "routine": "vec/echo@1", "in": {"in": "s"}}, {"id": "x", "routine": "vec/scrub@1", "in": {"in": "e"}}]
+    return classes_frame(spark, _graph(nodes, {"a": "e", "b": "x"}, {"who": {"subject": True}}, stock_registry()))
+
+
+@_query("generated_graphs", "SELECT * FROM (VALUES (6, 1), (8, 1), (11, 2), (14, 1), (17, 1), (18, 1), (21, 1), (26, 1), (39, 1)) t(seed, failing)")
+def generated_graphs(spark, sf_dir):
+    """The seeds up to 39 whose graphs have a failing node; all of them compile."""
+    rows = [(s, sum("fail" in n.ref for n in compile_graph(generate(s), stock_registry()).nodes.values())) for s in range(1, 40)]
+    return spark.createDataFrame(rows, "seed int, failing int").filter("failing > 0")
+
+
+@_query("splitmix64", "SELECT n_nationkey AS seed, c::VARCHAR AS first FROM (SELECT n_nationkey, xor(b, b >> 31) AS c FROM (SELECT n_nationkey, (xor(a, a >> 27) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS b FROM (SELECT n_nationkey, (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS a FROM (SELECT n_nationkey, (n_nationkey::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM nation))))")
+def splitmix64(spark, sf_dir):
+    """The first draw of the generator's source of numbers for each nation's key as a seed."""
+    first = F.udf(lambda seed: str(SplitMix64(seed).next()), "string")
+    return _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("seed"), first("n_nationkey").alias("first"))
