@@ -4,7 +4,8 @@ A template is any function from turns to a string. To learn where a turn lies, t
 prefixes of the conversation are rendered one after another: what the next output adds
 to the last one is the span of the new turn. A template whose output for more turns does
 not begin with its output for fewer rewrites history; this is reported with the first
-place that changed, and the span then starts there.
+place that changed. The new turn's span then starts there, and earlier turns whose spans
+reach beyond it have no known span any more (null).
 
 The stock template marks turns by control strings and escapes them inside texts: a
 backslash is doubled and one is put after the first character of a control string, so
@@ -12,14 +13,17 @@ the original text can be read back from the output.
 
 Rows are dealt by conversation and sorted by turn, and conversations are formatted from
 the sorted stream, one at a time. Null texts and roles count as empty; null turns come
-first; rows of one turn are ordered by role and text; repeated rows are repeated turns;
-rows without a conversation id are one conversation. Extra columns are ignored. A task
-holds one conversation at a time; rendering its prefixes takes time with the square of
-its turns, which is the price of knowing nothing about the template.
+first; rows of one turn are ordered by role and text; repeated rows are repeated turns.
+A row without a conversation id belongs to no other row: it is a conversation of its own,
+with a null id, and such rows are dealt by their content. Extra columns are ignored; an
+empty table gives an empty result. A task holds one conversation at a time; rendering its
+prefixes takes time with the square of its turns, which is the price of knowing nothing
+about the template.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable
@@ -29,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lots
+
 Turn = tuple[str, str]
 
 #: The strings that mark turns, and others that chat models read as control.
@@ -46,14 +52,19 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+@functools.lru_cache(maxsize=1024)
+def _stock_turn(role: str, text: str) -> str:
+    return f"{START}{escape(role)}{TEXT}{escape(text)}{END}\n"
+
+
 def stock_template(turns: list[Turn]) -> str:
-    return "".join(f"{START}{escape(role)}{TEXT}{escape(text)}{END}\n" for role, text in turns)
+    return "".join(_stock_turn(role, text) for role, text in turns)
 
 
 @dataclass
 class Rendered:
     text: str
-    spans: list[tuple[int, int]]  # of each turn
+    spans: list[tuple[int, int] | None]  # of each turn; None where a later turn rewrote it
     rewritten: list[tuple[int, int]]  # (turn, first place that changed) where history was rewritten
 
 
@@ -70,48 +81,65 @@ def render(turns: list[Turn], template: Callable[[list[Turn]], str]) -> Rendered
                 low, high = (middle, high) if before[:middle] == after[:middle] else (low, middle - 1)
             start = low
             rewritten.append((k - 1, start))
+            spans = [s if s is not None and s[1] <= start else None for s in spans]
         spans.append((start, len(after)))
         before = after
     return Rendered(before, spans, rewritten)
 
 
+#: Of an output: role, text and the place of the text of each turn.
+ReadBack = Callable[[Rendered], list[tuple[str, str, tuple[int, int]]]]
+
+
 def read_back(rendered: Rendered) -> list[tuple[str, str, tuple[int, int]]]:
     """Role, text and the place of the text of each span of a stock-template output."""
     out = []
-    for start, end in rendered.spans:
-        m = _TURN.match(rendered.text, start, end)
+    for span in rendered.spans:
+        m = _TURN.match(rendered.text, *span) if span else None
         if not m:
             raise ValueError("a span that is no turn")
         out.append((unescape(m[1]), unescape(m[2]), m.span(2)))
     return out
 
 
-SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, loss_spans array<array<long>>, rewrites long, formatted string"
-
-
-def _formatted(conv_id, turns: list[Turn]) -> tuple:
-    rendered = render(turns, stock_template)
-    seen, loss, turns_hash, loss_hash, chars = read_back(rendered), [], hashlib.sha256(), hashlib.sha256(), 0
-    for role, text, span in seen:
-        turns_hash.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        if role == "assistant":
-            loss.append(list(span))
-    for a, b in loss:  # what the mask covers, from the output itself
-        text = unescape(rendered.text[a:b])
-        chars += len(text)
-        loss_hash.update(text.encode("utf-8", "surrogatepass"))
-    return (conv_id, len(seen), turns_hash.hexdigest(), chars, loss_hash.hexdigest(), len(rendered.text), loss, len(rendered.rewritten), rendered.text)
-
-
-def format_conversations(rows: DataFrame, parts: int | None = None) -> DataFrame:
-    """One row per conversation, with its formatted text, loss mask and digests read back from the output."""
+_FIELDS = [
+    ("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()),
+    ("loss_spans", pa.list_(pa.list_(pa.int64()))), ("turn_spans", pa.list_(pa.list_(pa.int64()))), ("rewrites", pa.list_(pa.list_(pa.int64()))), ("formatted", pa.string()),
+]
+SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, loss_spans array<array<long>>, turn_spans array<array<long>>, rewrites array<array<long>>, formatted string"
+
+
+def _formatted(conv_id, turns: list[Turn], template: Callable[[list[Turn]], str], read: ReadBack | None, loss_role: str) -> tuple:
+    rendered = render(turns, template)
+    digests, loss = (len(turns), None, None, None), None
+    if read is None:  # the loss falls on the whole spans of the turns that are still there
+        loss = [list(s) for (role, _), s in zip(turns, rendered.spans, strict=True) if role == loss_role and s]
+    else:
+        seen, chars, turns_hash, loss_hash = read(rendered), 0, hashlib.sha256(), hashlib.sha256()
+        loss = [list(span) for role, _, span in seen if role == loss_role]
+        for role, text, _ in seen:
+            turns_hash.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            if role == loss_role:
+                chars += len(text)
+                loss_hash.update(text.encode("utf-8", "surrogatepass"))
+        digests = (len(seen), turns_hash.hexdigest(), chars, loss_hash.hexdigest())
+    return (conv_id, *digests, len(rendered.text), loss, [s and list(s) for s in rendered.spans], [list(r) for r in rendered.rewritten], rendered.text)
+
+
+def format_conversations(rows: DataFrame, template: Callable[[list[Turn]], str] = stock_template, read: ReadBack | None = read_back, loss_role: str = "assistant", parts: int | None = None) -> DataFrame:
+    """One row per conversation: formatted text, loss mask, span of each turn, where history was rewritten, and digests.
+
+    Any template will do; the digests are of what `read` finds in the output, and null
+    where it is None, as it must be for templates other than the stock one.
+    """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = None if template is not stock_template and read is read_back else read
     empty = F.lit("")
     flat = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    stream = flat.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.int64(), pa.string()]
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "loss_spans", "rewrites", "formatted"]
+    lone = flat.withColumn("deal", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(F.lit(0)))
+    stream = lone.repartition(parts, "conv_id", "deal").sortWithinPartitions("conv_id", "turn", "role", "text")
+    names = [n for n, _ in _FIELDS]
 
     def run(batches):
         at, turns, out, held = None, [], [], 0
@@ -119,12 +147,12 @@ def format_conversations(rows: DataFrame, parts: int | None = None) -> DataFrame
         def flush():
             cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in lots(batches, 3):
             for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if turns and conv != at:
-                    out.append(_formatted(at, turns))
+                if turns and (conv != at or conv is None):
+                    out.append(_formatted(at, turns, template, read, loss_role))
                     held += out[-1][5]
                     turns = []
                     if held > 4_000_000:
@@ -133,7 +161,7 @@ def format_conversations(rows: DataFrame, parts: int | None = None) -> DataFrame
                 at = conv
                 turns.append((role, text))
         if turns:
-            out.append(_formatted(at, turns))
+            out.append(_formatted(at, turns, template, read, loss_role))
         yield flush()
 
     return stream.mapInArrow(run, SCHEMA)

@@ -60,7 +60,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    return chat.format_conversations(rows.unionByName(extra)).drop("formatted")
+    return chat.format_conversations(rows.unionByName(extra)).drop("formatted", "turn_spans", "rewrites")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
