@@ -7,7 +7,7 @@ number of languages. One-versus-one linear support vector machines (squared hing
 choose the family, then the language within it, by votes and then by margins.
 
 Fitting takes about `per_language` texts of each language, `most` at most in all, picked
-by a hash of their ids. It reads text and lang of the training fold alone; prediction
+by a hash of their ids; of more than `most` languages it takes the most frequent. It reads text and lang of the training fold alone; prediction
 reads text alone. A text that is null or without a letter is `und` with score 0. Rows
 without a language are predicted but not learned from. Without any training text all
 texts are `und`. Repeated rows are predicted each, extra columns are ignored, an empty
@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, in_slices
+from .common import fold, lots
 
 #: SCALE brings vectors of gram shares to about length 1.
 DIM, PER_LANGUAGE, MOST, FOLDS, HELD, SCALE = 4_096, 500, 8_000, 4, 2, 12.0
-_LETTERS = re.compile(r"[^\W\d_]+")
+_NO_DIGITS = re.compile(r"[^\W\d_]+")
 
 
 class _Grams(dict):
@@ -46,6 +46,14 @@ class _Grams(dict):
 _places = _Grams()
 
 
+def letters(text: str) -> list[str]:
+    """The runs of letters of a lower-cased text; numerals such as fractions are no letters."""
+    found = _NO_DIGITS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
+
+
 def grams(word: str) -> list[int]:
     padded = f"^{word}$"
     n = len(padded)
@@ -55,7 +63,7 @@ def grams(word: str) -> list[int]:
 def vector(text: str | None) -> np.ndarray | None:
     """Gram counts of a text over their sum, times SCALE; None if it has no letter."""
     counts: dict[str, int] = {}
-    for w in _LETTERS.findall((text or "").lower()):
+    for w in letters((text or "").lower()):
         counts[w] = counts.get(w, 0) + 1
     if not counts:
         return None
@@ -139,7 +147,7 @@ def fit(samples: list[tuple[str, np.ndarray]]) -> Model | None:
 def train(docs: DataFrame, folds: int = FOLDS, held: int = HELD, per_language: int = PER_LANGUAGE, most: int = MOST) -> Model | None:
     """docs: doc_id, text, lang."""
     usable = docs.filter((fold(F.col("doc_id"), folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     if not counts:
         return None
     each = max(1, min(per_language, most // len(counts)))
@@ -168,7 +176,7 @@ class _Pieces(dict):
             new = list(pieces)
         for first in range(0, len(new), together):
             lot = new[first : first + together]
-            ids = [[g for w in _LETTERS.findall(p.lower()) for g in grams(w)] for p in lot]
+            ids = [[g for w in letters(p.lower()) for g in grams(w)] for p in lot]
             counts = np.array([len(x) for x in ids])
             rows = np.zeros((len(lot), self.weights.shape[1] + 1), "<f4")
             rows[:, -1] = counts
@@ -187,21 +195,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches):
         m = model.value
         pieces = _Pieces(m) if m else None
-        for batch in batches:
+        for batch in lots(batches, 1):
             langs, scores = [], []
-            texts = batch.column(1).to_pylist()
-            for a, b in in_slices(texts):
-                split = [t.split() if m and t else [] for t in texts[a:b]]
-                if m:
-                    pieces.learn(set().union(*split))
-                for words in split:
-                    got = ("und", 0.0)
-                    if words:
-                        flat = np.frombuffer(b"".join(map(pieces.__getitem__, words)), "<f4").reshape(-1, len(m.biases) + 1)
-                        total = flat.sum(axis=0, dtype=np.float64)
-                        if total[-1]:
-                            got = m.predict(total[:-1] / total[-1] * SCALE + m.biases)
-                    langs.append(got[0]), scores.append(got[1])
+            split = [t.split() if m and t else [] for t in batch.column(1).to_pylist()]
+            if m:
+                pieces.learn(set().union(*split))
+            for words in split:
+                got = ("und", 0.0)
+                if words:
+                    flat = np.frombuffer(b"".join(map(pieces.__getitem__, words)), "<f4").reshape(-1, len(m.biases) + 1)
+                    total = flat.sum(axis=0, dtype=np.float64)
+                    if total[-1]:
+                        got = m.predict(total[:-1] / total[-1] * SCALE + m.biases)
+                langs.append(got[0]), scores.append(got[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     found = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
