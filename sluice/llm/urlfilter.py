@@ -2,16 +2,21 @@
 
 Host and path are cut from the url by position alone (see `host_of`). The rule whose
 host is the url's host or a parent domain of it, and whose path begins the url's path,
-decides; of several the longest does. Where no rule fits, boosted trees decide, trained
-from labelled URLs on lengths, depth, digit ratio, entropy, parameter counts, hyphens,
-labels and suffix statistics (how often the labelled URLs of a last domain label are to
-be blocked).
-
-Features and trees are Column expressions, so judging is one projection without Python,
-join or shuffle. Training takes at most `most` labelled URLs; their features come from
-the same expressions. A null url, or one without `://`, has empty host and path, matches
-no rule and is judged by its features (all zero); null ids and repeated rows are
-carried; extra columns are ignored; an empty table gives an empty result.
+decides; of several the longest does, and of equally long ones the greatest text. Up to
+`CHAIN` rules are one expression; more are joined by the parent domains of the distinct
+hosts and paths, without a limit on their number.
+
+Where no rule fits, boosted trees decide, trained from labelled URLs on lengths, depth,
+digit ratio, entropy, parameter counts, hyphens, labels and suffix statistics (how often
+the labelled URLs of a last domain label are to be blocked, of the `suffixes` most
+frequent ones). Without labelled URLs of one's own, those that a rule decides are the
+labelled ones, with the rule's verdict; if there are none either, the score is 0.
+
+Features and trees are Column expressions, so judging is one projection without Python
+or shuffle. Training takes at most `most` labelled URLs; their features come from the
+same expressions. A null url, or one without `://`, has empty host and path, matches no
+rule and is judged by its features (all zero); null ids and repeated rows are carried;
+extra columns are ignored; an empty table gives an empty result. Long urls are read whole.
 """
 
 from __future__ import annotations
@@ -20,11 +25,11 @@ import functools
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-MOST = 20_000
+MOST, SUFFIXES, CHAIN = 20_000, 200, 64
 
 
 @dataclass(frozen=True)
@@ -60,8 +65,7 @@ def path_of(url: str = "url") -> Column:
 
 
 def fitting_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Column]:
-    """The text and the verdict of the longest rule that fits, or nulls. For up to a thousand rules."""
-    assert len(rules) <= 1000
+    """The text and the verdict of the longest rule that fits, or nulls; one condition for each rule."""
     text = verdict = F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.text), r.text)):
         fits = ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
@@ -69,6 +73,21 @@ def fitting_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column,
     return text, verdict
 
 
+def ruled(rows: DataFrame, rules: list[Rule], chain: int = CHAIN) -> DataFrame:
+    """rows (with host and path) with columns rule and ruled, the verdict of the rule that fits, or nulls."""
+    if len(rules) <= chain:
+        text, verdict = fitting_rule(rules, F.col("host"), F.col("path"))
+        return rows.withColumn("rule", text).withColumn("ruled", verdict)
+    table = rows.sparkSession.createDataFrame([(r.host, r.path, r.text, r.verdict) for r in rules], "rule_host string, rule_path string, rule string, ruled string")
+    most = max(r.host.count(".") + 1 for r in rules)
+    labels = F.split("host", "\\.")
+    parents = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    asked = rows.select("host", "path").distinct().select("host", "path", F.explode(parents).alias("rule_host"))
+    fits = asked.join(table, "rule_host").filter(F.startswith("path", F.col("rule_path")))
+    longest = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("ruled"))).alias("best"))
+    return rows.join(longest, ["host", "path"], "left").withColumn("rule", F.col("best.rule")).withColumn("ruled", F.col("best.ruled")).drop("best")
+
+
 FEATURES = ["url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels", "longest_label", "suffix_rate"]
 
 
@@ -145,48 +164,24 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: f
     return out
 
 
-def stock_labelled(n: int = 2_000, seed: int = 3) -> list[tuple[str, int]]:
-    """Labelled URLs (1: block) made by rule from short word lists, for when no others are given."""
-    rng = np.random.default_rng(seed)
-    #: Words of unwanted hosts and of ordinary ones.
-    bad = ["casino", "pills", "bets", "spam", "adult", "ads", "track", "free", "win", "cheap", "farm", "loans", "poker", "click", "xxx", "x", "deal", "bonus"]
-    good = ["news", "river", "garden", "library", "mountain", "school", "weather", "kitchen", "history", "museum", "cycling", "letters", "harbour", "forest", "theatre", "physics"]
-    suffix, sub, tail = ["com", "net", "org"], ["", "www.", "blog.", "m."], ["", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"]
-    pick = lambda options: options[int(rng.integers(len(options)))]
-    out = []
-    for i in range(n):
-        block = i % 2
-        if block:
-            name = "-".join(pick(bad) for _ in range(int(rng.integers(2, 4)))) if rng.random() < 0.8 else pick(bad) + str(rng.integers(10_000_000))
-        else:
-            name = pick(good) + (pick(good) if rng.random() < 0.5 else "") if rng.random() < 0.9 else pick(good) + "-" + pick(good)
-        site = ".example" if rng.random() < 0.5 else ""
-        path = "/" + pick(["en", "de", "fr", "es", "a", "posts"]) + "/" + str(rng.integers(1, 50_000))
-        extra = "".join(f"&{pick(bad)}={rng.integers(10**9)}" for _ in range(int(rng.integers(0, 4)))) if block and rng.random() < 0.3 else ""
-        out.append((f"http{pick(['', 's'])}://{pick(sub)}{name}{site}.{pick(suffix)}{path}{pick(tail)}" + (("?q=1" + extra) if extra else ""), block))
-    return out
-
-
-def train(spark: SparkSession, labelled: DataFrame | None = None, most: int = MOST, **options) -> tuple[list[Tree], dict[str, float]]:
+def train(labelled: DataFrame, most: int = MOST, suffixes: int = SUFFIXES, **options) -> tuple[list[Tree], dict[str, float]]:
     """labelled: url, label (1: block). Reads at most `most` of its rows, by a hash of the url."""
-    if labelled is None:
-        labelled = spark.createDataFrame(stock_labelled(), "url string, label int")
     rows = labelled.select("url", F.col("label").cast("double").alias("label")).orderBy(F.xxhash64("url"), "url").limit(most)
     cut = rows.withColumn("host", host_of()).withColumn("path", path_of())
-    suffix = cut.groupBy(F.element_at(F.split("host", "\\."), -1).alias("s")).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "s").limit(200)
+    suffix = cut.groupBy(F.element_at(F.split("host", "\\."), -1).alias("s")).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "s").limit(suffixes)
     rates = {r["s"]: round((r["b"] + 1) / (r["n"] + 2), 4) for r in suffix.collect()}
     got = np.array([list(r) for r in cut.select(*[e.alias(k) for k, e in features(rates).items()], "label").collect()])
-    if not len(got):
-        return [], rates
-    return boost(got[:, :-1], got[:, -1], **options), rates
+    return (boost(got[:, :-1], got[:, -1], **options) if len(got) else []), rates
 
 
 def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", **options) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, score (the trees' probability of block)."""
-    trees, rates = train(pages.sparkSession, labelled, **options)
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url")).withColumn("host", host_of()).withColumn("path", path_of())
-    text, verdict = fitting_rule(rules, F.col("host"), F.col("path"))
-    with_features = rows.withColumns(features(rates))
+    with_rules = ruled(rows, rules)
+    if labelled is None:
+        labelled = with_rules.filter("ruled is not null").select("url", (F.col("ruled") == "block").cast("int").alias("label"))
+    trees, rates = train(labelled, **options)
     total = functools.reduce(lambda a, t: a + t.column(), trees, F.lit(0.0))
-    scored = with_features.withColumn("score", F.round(1 / (1 + F.exp(-total)), 6)).withColumn("rule", text).withColumn("ruled", verdict)
+    score = F.round(1 / (1 + F.exp(-total)), 6) if trees else F.lit(0.0)
+    scored = with_rules.withColumns(features(rates)).withColumn("score", score)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
