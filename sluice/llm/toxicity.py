@@ -24,12 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import drop_rows, row_key
-from .common import fold
+from .common import fold, lots
 
 DIM, POSITIVES, UNLABELLED, SELECTED, FOLDS = 1 << 18, 2_000, 5_000, 4_096, 5
 _WORD = re.compile(r"\w+")
@@ -147,27 +147,30 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, positives: int
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, **options) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    scored = _scored(rows, rows, labels, folds, **options)
-    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
-
-def _scored(keyed: DataFrame, rows: DataFrame, labels: DataFrame, folds: int = FOLDS, **options) -> DataFrame:
-    """The first column of keyed and the score of the text in its second, by the model trained on rows."""
     model = rows.sparkSession.sparkContext.broadcast(train(rows, labels, folds, **options))
-    name, kind = keyed.dtypes[0]
 
     def run(batches):
         pieces = _Pieces(model.value.weights != 0)
-        for batch in batches:
-            scores = [model.value.score(pieces.distinct(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[name, "score"])
+        for batch in lots(batches, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0), _scores(model.value, pieces, batch.column(1))], names=["doc_id", "score"])
+
+    scored = rows.mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-    return keyed.mapInArrow(run, f"{name} {kind}, score double")
+
+def _scores(model: Model, pieces: _Pieces, texts: pa.Array) -> pa.Array:
+    return pa.array([model.score(pieces.distinct(t)) for t in texts.to_pylist()], pa.float64())
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those predicted toxic, all columns."""
+    """docs without the rows predicted toxic, all columns; every row is judged by its own text."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    keyed = rows.select(row_key(F.col("doc_id"), F.col("text")).alias("k"), "text")
-    gone = _scored(keyed, rows, labels, **options).filter("score >= 0.5").select("k")
-    return drop_rows(docs, gone, id_col, text_col)
+    model = rows.sparkSession.sparkContext.broadcast(train(rows, labels, **options))
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def run(batches):
+        pieces = _Pieces(model.value.weights != 0)
+        for batch in lots(batches, at):
+            yield batch.filter(pc.less(_scores(model.value, pieces, batch.column(at)), 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
