@@ -37,7 +37,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # A smaller cache than by default: the workers hold memory of the stages before as well.
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=60_000_000)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -48,7 +49,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: Learned scores and token ids can't be told in SQL; the tests hold run() against a brute-force version.
+#: Learned scores and token ids can't be told in SQL; the tests hold every stage and run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
