@@ -206,7 +206,7 @@ class IdEncoder:
     #: Bytes that an entry takes besides its piece and ids, at the least.
     ENTRY = 200
 
-    def __init__(self, path: str, ordinary: bool = False, most: int = 80_000_000):
+    def __init__(self, path: str, ordinary: bool = False, most: int = 160_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -282,12 +282,13 @@ class IdEncoder:
 _encoders: dict[tuple, IdEncoder] = {}
 
 
-def encoder(path: str, ordinary: bool = False) -> IdEncoder:
-    """The worker process's encoder, whose cache serves later tasks; one for another vocabulary takes its place."""
-    if (path, ordinary) not in _encoders:
+def encoder(path: str, ordinary: bool = False, cache: int = 160_000_000) -> IdEncoder:
+    """The worker process's encoder, whose cache serves later tasks; one with other settings takes its place."""
+    settings = (path, ordinary, cache)
+    if settings not in _encoders:
         _encoders.clear()
-        _encoders[path, ordinary] = IdEncoder(path, ordinary)
-    return _encoders[path, ordinary]
+        _encoders[settings] = IdEncoder(*settings)
+    return _encoders[settings]
 
 
 def in_slices(texts: list, chars: int = 2_000_000):

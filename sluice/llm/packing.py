@@ -3,15 +3,21 @@
 The cost of a piece of n tokens is estimated as linear * n + quadratic * n * n (the
 feed-forward and the attention part). Each task gathers a bounded buffer of documents,
 cuts off whole sequences from long ones and assigns what is left in order of descending
-cost, always to the lowest-cost sequence that has room. Nothing is shuffled.
-
-Null texts count as empty; an empty document is its end id alone. Null or repeated ids
-are carried as they are. An empty table gives an empty result. Extra columns are ignored.
+cost, always to the lowest-cost sequence that has room for all of it. Only where no
+sequence has that room is a piece cut, at the lowest-cost sequence that has any; the rest
+waits in its place by cost. Nothing is shuffled.
+
+Of sequences of one cost the first opened is taken, of pieces of one length the last
+come. Null texts count as empty; an empty document is its end id alone. Null or repeated
+ids are carried as they are. An empty table gives an empty result. Extra columns are
+ignored. A very long text is encoded whole and leaves the task piece by piece.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +25,60 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import crc_of, encoder, in_slices
+from .common import crc_of, encoder, lots
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
 
+class _Open:
+    """Open sequences by the tokens they have left, to find the one of lowest cost with room."""
+
+    NONE = (math.inf, 0, 0)
+
+    def __init__(self, room: int, sequences: list[int]):
+        self.size = 1 << room.bit_length()
+        self.heaps: list[list] = [[] for _ in range(self.size)]
+        self.best = [self.NONE] * (2 * self.size)  # a binary tree over the rooms: the lowest (cost, sequence, room) below
+        self.count = 0
+        for s in sequences:
+            self.put(0.0, s, room)
+
+    def _renew(self, room: int) -> None:
+        heap, at = self.heaps[room], room + self.size
+        self.best[at] = heap[0] if heap else self.NONE
+        while at > 1:
+            at >>= 1
+            self.best[at] = min(self.best[2 * at], self.best[2 * at + 1])
+
+    def put(self, cost: float, sequence: int, room: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence, room))
+        self.count += 1
+        if self.heaps[room][0][1] == sequence:
+            self._renew(room)
+
+    def take(self, tokens: int) -> tuple[float, int, int]:
+        """The lowest-cost sequence with room for so many tokens, or else the lowest-cost one."""
+        low, high, found = tokens + self.size, 2 * self.size, self.NONE
+        while low < high:
+            if low & 1:
+                found = min(found, self.best[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                found = min(found, self.best[high])
+            low, high = low >> 1, high >> 1
+        found = self.best[1] if found is self.NONE else found
+        heapq.heappop(self.heaps[found[2]])
+        self._renew(found[2])
+        self.count -= 1
+        return found
+
+
 class Packer:
     """Packs (key, ids) into sequences of `room` tokens; memory holds one buffer of about `buffer` tokens."""
 
-    def __init__(self, room: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024, buffer: int = 2_000_000, tries: int = 8):
-        self.room, self.linear, self.quadratic, self.buffer, self.tries = room, linear, quadratic, buffer, tries
+    def __init__(self, room: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024, buffer: int = 2_000_000):
+        self.room, self.linear, self.quadratic, self.buffer = room, linear, quadratic, buffer
         self.held: list[tuple] = []  # (key, whole length, start, ids)
         self.tokens = 0
         self.next_sequence = 0
@@ -75,30 +125,19 @@ class Packer:
         """Fills `count` sequences wholly; pieces beyond them stay for the next buffer."""
         if not count:
             return
-        open_ = [(0.0, self._new(), 0) for _ in range(count)]  # cost, sequence, tokens used
-        heapq.heapify(open_)
-        waiting = sorted(self.held, key=lambda p: len(p[3]))
-        self.held, kept = [], []
-        while waiting:
+        open_ = _Open(self.room, [self._new() for _ in range(count)])
+        size = lambda p: len(p[3])
+        waiting = sorted(self.held, key=size)
+        while waiting and open_.count:
             key, total, start, ids = waiting.pop()
-            if not open_:
-                kept.append((key, total, start, ids))
-                continue
-            passed = []
-            while open_ and len(passed) < self.tries and self.room - open_[0][2] < len(ids):
-                passed.append(heapq.heappop(open_))
-            # No sequence near the lowest cost has room for all of it: cut it at the lowest.
-            at = passed.pop(0) if len(passed) >= self.tries or not open_ else heapq.heappop(open_)
-            for other in passed:
-                heapq.heappush(open_, other)
-            cost, sequence, used = at
-            part = ids[: self.room - used]
-            yield key, total, start, part, sequence, used, self.cost(len(part))
-            used += len(part)
-            if used < self.room:
-                heapq.heappush(open_, (cost + self.cost(len(part)), sequence, used))
+            cost, sequence, left = open_.take(len(ids))
+            part = ids[:left]
+            yield key, total, start, part, sequence, self.room - left, self.cost(len(part))
+            if len(part) < left:
+                open_.put(cost + self.cost(len(part)), sequence, left - len(part))
             if len(part) < len(ids):
-                waiting.append((key, total, start + len(part), ids[len(part) :]))
+                insort(waiting, (key, total, start + len(part), ids[len(part) :]), key=size)
+        kept = waiting
         self.held = kept
         self.tokens = sum(len(p[3]) for p in kept)
 
@@ -110,10 +149,15 @@ def pack(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    ordinary: bool = False,
+    cache: int = 160_000_000,
     **options,
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence.
 
+    With `ordinary`, strings of special tokens in a text are text like any other. A worker
+    process keeps the ids of up to twice `cache` bytes of pieces of text.
+
     sequence_id is unique over the whole result (task number in the high bits). Every
     sequence is full, but for at most log2(room) a task, whose lengths are powers of two.
     """
@@ -121,7 +165,7 @@ def pack(
     def run(batches):
         packer = Packer(room, **options)
         base = TaskContext.get().partitionId() << 33
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, ordinary, cache)
         tail = np.array([end_id], dtype="<u4")
         out: list[tuple] = []
 
@@ -137,13 +181,11 @@ def pack(
             for key, total, start, ids, sequence, offset, cost in pieces:
                 out.append((key, start, len(ids), crc_of(ids), total, base + sequence, offset, cost))
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_slices(texts):
-                for key, ids in zip(keys[a:b], enc.encode(texts[a:b]), strict=True):
-                    keep(packer.add(key, np.concatenate([ids, tail])))
-                if len(out) > 20_000:
-                    yield flush()
+        for batch in lots(batches, 1, 2_000_000):
+            for key, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+                keep(packer.add(key, np.concatenate([ids, tail])))
+            if len(out) > 20_000:
+                yield flush()
         keep(packer.finish())
         yield flush()
 

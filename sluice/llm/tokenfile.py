@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of, encoder, in_slices, shared_dir
+from .common import crc_of, encoder, lots, shared_dir
 
 MAGIC, VERSION, BLOCK = b"S8BW", 1, 8192
 #: Fixed values of the coding: (selector, values a word, bits a value).
@@ -156,16 +156,18 @@ def write(
     text_col: str = "text",
     run_ids: int = 262_144,
     parts: int | None = None,
+    ordinary: bool = False,
 ) -> None:
     """Writes the ids of all documents in ascending id order; part files follow that order.
 
-    Null texts count as empty, null ids come first, rows of one id are ordered by the
+    Strings of special tokens in a text are those tokens, as the library has it by
+    default; with `ordinary` they are text like any other. Null texts count as empty, null ids come first, rows of one id are ordered by the
     hash of their text. A range of ids is split by that hash as well, so that one very
     common id does not fill one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, ordinary), TaskContext.get().partitionId()
         tail = np.array([end_id], dtype="<u4")
         number, before = 0, 0
         ids, keys, held = [], [], 0
@@ -180,15 +182,13 @@ def write(
             ids.clear(), keys.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=names)
 
-        for batch in batches:
-            got, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_slices(texts):
-                for key, x in zip(got[a:b], enc.encode(texts[a:b]), strict=True):
-                    keys.append(key)
-                    ids.append(np.concatenate([x, tail]))
-                    held += len(x) + 1
-                    if held >= run_ids:
-                        yield body()
+        for batch in lots(batches, 1, 2_000_000):
+            for key, x in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+                keys.append(key)
+                ids.append(np.concatenate([x, tail]))
+                held += len(x) + 1
+                if held >= run_ids:
+                    yield body()
         if keys:
             yield body()
 
