@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import tempfile
 import uuid
 import zlib
@@ -14,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_PLAIN_WORD = re.compile(r"([A-Za-z]+)([.,;:!?]?)")
 _SPACE_BY_SPACE = re.compile(r" \s|\s |^ | $")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -196,8 +198,9 @@ class IdEncoder:
     Pieces between two spaces that have no white space beside them are encoded once and
     kept: both supported kinds of vocabulary cut texts there in any case, so the ids are
     those of the whole text. Any other text goes through a slower split that keeps runs
-    of white space whole. New pieces are encoded many at a time, joined by a mark that
-    always is a token of its own. The cache has two generations of up to `most` bytes:
+    of white space whole. A new piece of ASCII letters is one word to both kinds, a mark
+    after it another, so the vocabulary's model is asked for them directly. Other new
+    pieces are encoded many at a time, joined by a mark that always is a token of its own. The cache has two generations of up to `most` bytes:
     when the younger one is full it becomes the older, whose pieces return when used.
     Strings of special tokens in a text are those tokens, as the library has it by
     default; with `ordinary` they are text like any other.
@@ -220,6 +223,11 @@ class IdEncoder:
         self.drops_space = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
         self.mark = " \x01 " if self.drops_space else "\n"
         (self.mark_id,) = self._encode([self.mark])[0].tolist()
+        # How a word after a space is written for the model: None where that is not so simple.
+        self.model, self.lead = self.tokenizer.model, "" if self.drops_space else "\u0120"
+        samples = ["the", "Then", "ABC", "xqzvyk", "of.", "End!", "wh?"]
+        if [self._word(p) for p in samples] != [x.tobytes() for x in self._encode([self._text(p) for p in samples])]:
+            self.lead = None
         self.cache: dict[str | tuple, bytes] = {}
         self.older: dict[str | tuple, bytes] = {}
 
@@ -236,10 +244,25 @@ class IdEncoder:
     def _text(self, piece: str | tuple) -> str:
         return piece[0] if isinstance(piece, tuple) else piece if self.drops_space else " " + piece
 
+    def _word(self, piece: str) -> bytes | None:
+        """The ids of a piece of ASCII letters, with a mark after them or without; None for any other."""
+        found = _PLAIN_WORD.fullmatch(piece)
+        if not found:
+            return None
+        word, mark = found.groups()
+        ids = [t.id for t in self.model.tokenize(self.lead + (word.lower() if self.drops_space else word))]
+        if mark:
+            ids += [t.id for t in self.model.tokenize(mark)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, pieces: list, together: int = 200) -> None:
         mark = self.mark.strip(" ")
         plain, odd = [], []
         for piece in pieces:
+            ids = self._word(piece) if self.lead is not None and isinstance(piece, str) else None
+            if ids is not None:
+                self._keep(piece, ids)
+                continue
             p = self._text(piece)
             alone = mark in p or not p or p[-1].isspace() or p[:1].isspace() and p[:1] != " " or any(x in p for x in self.special)
             (odd if alone else plain).append(piece)
