@@ -314,6 +314,11 @@ def encoder(path: str, ordinary: bool = False, cache: int = 160_000_000) -> IdEn
     return _encoders[settings]
 
 
+def forget() -> None:
+    """Gives the memory of the encoder's cache back: worker processes outlive the step that filled it."""
+    _encoders.clear()
+
+
 def in_slices(texts: list, chars: int = 2_000_000):
     """(start, end) of slices that hold about `chars` characters each."""
     start, held = 0, 0

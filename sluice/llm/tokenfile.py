@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of, encoder, lots, shared_dir
+from .common import crc_of, encoder, forget, lots, shared_dir
 
 MAGIC, VERSION, BLOCK = b"S8BW", 1, 8192
 #: Fixed values of the coding: (selector, values a word, bits a value).
@@ -157,17 +157,19 @@ def write(
     run_ids: int = 262_144,
     parts: int | None = None,
     ordinary: bool = False,
+    cache: int = 100_000_000,
 ) -> None:
     """Writes the ids of all documents in ascending id order; part files follow that order.
 
     Strings of special tokens in a text are those tokens, as the library has it by
     default; with `ordinary` they are text like any other. Null texts count as empty, null ids come first, rows of one id are ordered by the
     hash of their text. A range of ids is split by that hash as well, so that one very
-    common id does not fill one task.
+    common id does not fill one task. A worker process keeps the ids of up to twice
+    `cache` bytes of pieces of text, beside a task's sorted rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        enc, part = encoder(tokenizer, ordinary), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, ordinary, cache), TaskContext.get().partitionId()
         tail = np.array([end_id], dtype="<u4")
         number, before = 0, 0
         ids, keys, held = [], [], 0
@@ -208,9 +210,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def run(batches):
+        forget()  # what a write in this process has kept
         for batch in batches:
-            x = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            for at, keys, lengths, body in zip(x["run_start"], x["doc_ids"], x["lengths"], x["body"], strict=True):
+            columns = [batch.column(n) for n in ("run_start", "doc_ids", "lengths", "body")]
+            for i in range(batch.num_rows):  # one run at a time as Python values
+                at, keys, lengths, body = (c[i].as_py() for c in columns)
                 ids = decode(body).astype("<u4")
                 ends = np.cumsum(lengths)
                 crcs = [crc_of(ids[e - n : e]) for n, e in zip(lengths, ends.tolist(), strict=True)]
