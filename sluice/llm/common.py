@@ -15,8 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PLAIN_WORD = re.compile(r"([A-Za-z]+)([.,;:!?]?)")
-_SPACE_BY_SPACE = re.compile(r" \s|\s |^ | $")
+#: Letters that neither composition nor lower-casing turns into several, and marks that no special token or contraction has.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+"
+_MARKS = r"[!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]*"
+_PLAIN_WORD = re.compile(f"({_LETTERS})({_MARKS})")
+_PLAIN_LINES = re.compile(f"({_LETTERS})({_MARKS})(?:\n({_LETTERS})({_MARKS}))?")
+_OTHER_SPACES = [c for c in map(chr, range(0x110000)) if c.isspace() and c != " "]
+#: How byte-level vocabularies write the bytes that letters beyond ASCII have.
+_BYTES = {0x80 + i: chr(0x122 + i) for i in range(0x21)} | {0xAD: chr(0x143)}
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -192,14 +198,19 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     return mix(out)
 
 
+def _space_by_space(text: str) -> bool:
+    """Whether a space has white space or an end of the text beside it."""
+    return text[:1] == " " or text[-1:] == " " or "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in _OTHER_SPACES)
+
+
 class IdEncoder:
     """Token ids of whole texts by a vocabulary file of the tokenizers library.
 
     Pieces between two spaces that have no white space beside them are encoded once and
     kept: both supported kinds of vocabulary cut texts there in any case, so the ids are
     those of the whole text. Any other text goes through a slower split that keeps runs
-    of white space whole. A new piece of ASCII letters is one word to both kinds, a mark
-    after it another, so the vocabulary's model is asked for them directly. Other new
+    of white space whole. A new piece of Latin letters is one word to both kinds, the marks
+    after it another, a line end a third, so the vocabulary's model is asked for them directly. Other new
     pieces are encoded many at a time, joined by a mark that always is a token of its own. The cache has two generations of up to `most` bytes:
     when the younger one is full it becomes the older, whose pieces return when used.
     Strings of special tokens in a text are those tokens, as the library has it by
@@ -225,7 +236,10 @@ class IdEncoder:
         (self.mark_id,) = self._encode([self.mark])[0].tolist()
         # How a word after a space is written for the model: None where that is not so simple.
         self.model, self.lead = self.tokenizer.model, "" if self.drops_space else "\u0120"
-        samples = ["the", "Then", "ABC", "xqzvyk", "of.", "End!", "wh?"]
+        self.plain = _PLAIN_WORD if self.drops_space else _PLAIN_LINES
+        self.marks: dict[str, bytes] = {}
+        samples = ["the", "Then", "ABC", "xqzvyk", "of.", "End!", "wh?", "re%%%", "n_(x"[:3], "\u00c9t\u00e9", "\u0141\u017c\u00e0\u00ed\u0160\u0117;"]
+        samples += [] if self.drops_space else ["end.\nNow", "a\nb!!", "\u00e0.\n\u00c0\u00e9"]
         if [self._word(p) for p in samples] != [x.tobytes() for x in self._encode([self._text(p) for p in samples])]:
             self.lead = None
         self.cache: dict[str | tuple, bytes] = {}
@@ -237,7 +251,7 @@ class IdEncoder:
     def split(self, text: str) -> list:
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
-        pieces = _LONE_SPACE.split(text) if _SPACE_BY_SPACE.search(text) else text.split(" ")
+        pieces = _LONE_SPACE.split(text) if _space_by_space(text) else text.split(" ")
         pieces[0] = (pieces[0],)  # the first has no space before it, all others have
         return pieces
 
@@ -245,16 +259,37 @@ class IdEncoder:
         return piece[0] if isinstance(piece, tuple) else piece if self.drops_space else " " + piece
 
     def _word(self, piece: str) -> bytes | None:
-        """The ids of a piece of ASCII letters, with a mark after them or without; None for any other."""
-        found = _PLAIN_WORD.fullmatch(piece)
+        """The ids of a piece of Latin letters, with marks after them or without, also twice with a line end between; None for any other."""
+        found = self.plain.fullmatch(piece)
         if not found:
             return None
-        word, mark = found.groups()
-        ids = [t.id for t in self.model.tokenize(self.lead + (word.lower() if self.drops_space else word))]
+        word, mark, *line = found.groups()
+        ids = self._tokens(self.lead, word)
         if mark:
-            ids += [t.id for t in self.model.tokenize(mark)]
+            ids += self._mark(mark)
+        if line and line[0]:
+            ids += self._mark("\u010a") + self._tokens("", line[0])
+            if line[1]:
+                ids += self._mark(line[1])
+        return ids
+
+    def _tokens(self, lead: str, word: str) -> bytes:
+        if self.drops_space:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        ids = [t.id for t in self.model.tokenize(lead + word)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _mark(self, mark: str) -> bytes:
+        ids = self.marks.get(mark)
+        if ids is None:
+            if len(self.marks) >= 10_000:
+                self.marks.clear()
+            found = [t.id for t in self.model.tokenize(mark)]
+            ids = self.marks[mark] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
     def _learn(self, pieces: list, together: int = 200) -> None:
         mark = self.mark.strip(" ")
         plain, odd = [], []
@@ -287,18 +322,20 @@ class IdEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers; null counts as empty."""
         split = [self.split(t) if t else [] for t in texts]
-        missing = list(set().union(*split).difference(self.cache))
+        used = set().union(*split)
+        missing = list(used.difference(self.cache))
         if missing:
             if self.held > self.most:  # what a call adds is bounded by the length of its texts
                 self.older, self.cache, self.held = self.cache, {}, 0
-                missing = list(set().union(*split))
+                missing = list(used)
             if self.older:
                 for p in missing:
                     if p in self.older:
                         self._keep(p, self.older[p])
                 missing = [p for p in missing if p not in self.cache]
             self._learn(missing)
-        take = self.cache.__getitem__
+        cache = self.cache
+        take = {p: cache[p] for p in used}.__getitem__  # smaller, so that its places are nearer
         return [np.frombuffer(b"".join(map(take, pieces)), dtype="<u4") for pieces in split]
 
 
