@@ -43,70 +43,107 @@ for _s, _n, _b in SELECTORS:
 _COUNT[0] = 1
 
 
+#: Values whose blocks are coded in one go: as arrays of some MB, whatever the length of a run.
+TOGETHER = 262_144
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
-    """Bits that each value needs."""
+    """Bits that each value needs, up to the next number of bits that a selector has."""
+    if len(values) and values.max() < len(_SHORT):
+        return _SHORT[values]
     out = np.zeros(len(values), np.int8)
     for b in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30):
         out[values >= np.uint64(1 << b)] = b + 1
-    out[values == 0] = 0
     return out
 
 
-def _block_words(values: np.ndarray) -> np.ndarray:
-    n = len(values)
-    width = _widths(values)
-    choice = np.zeros(n, np.int8)  # selector 0, the escape, where nothing fits
-    most = width.copy()  # the largest width among the next `span` values
+_SHORT = np.empty(0, np.int8)
+_SHORT = _widths(np.arange(1 << 16, dtype=np.uint64))
+
+
+def _walk(hops: np.ndarray) -> np.ndarray:
+    """The places reached from 0 by hops[i] from i. Python takes every eighth hop, the others follow from it."""
+    n = len(hops)
+    one = np.append(np.arange(n, dtype=np.int32) + hops, np.int32(n))
+    two = one[one]
+    four = two[two]
+    eight = memoryview(four[four])
+    starts, i = [], 0
+    while i < n:
+        starts.append(i)
+        i = eight[i]
+    at = np.array(starts, np.int32)
+    for step in (four, two, one):
+        at = np.stack([at, step[at]], 1).ravel()
+    return at[: np.searchsorted(at, n)]
+
+
+def _block_words(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some blocks of values, and the first word of each block."""
+    n, n_blocks = len(values), -(-len(values) // block)
+    width = np.full(n_blocks * block, 99, np.int8)
+    width[:n] = _widths(values)
+    most = width.reshape(n_blocks, block)  # the largest width among the next `span` values, 99 where the block ends before
+    choice = np.zeros(most.shape, np.int8)  # selector 0, the escape, where nothing fits
     span = 1
     for s, count, bits in reversed(SELECTORS):
-        while span < count and span < n:
+        if count > block:
+            break
+        while span < count:
             step = min(span, count - span)
-            most = np.concatenate([np.maximum(most[:-step], most[step:]), np.full(step, 99, np.int8)]) if step < n else np.full(n, 99, np.int8)
-            span += step
-        if count <= n:
-            fits = most <= bits
-            if not fits.any():  # more values of fewer bits can't fit either
-                break
-            choice[fits] = s
+            longer = np.full(most.shape, 99, np.int8)
+            np.maximum(most[:, :-step], most[:, step:], out=longer[:, :-step])
+            most, span = longer, span + step
+        fits = most <= bits
+        if not fits.any():  # more values of fewer bits can't fit either
+            break
+        np.copyto(choice, s, where=fits)
+    choice = choice.ravel()[:n]
+    ends = np.minimum(np.arange(1, n_blocks + 1) * block, n)
     # A single value of up to 30 bits at the end of a block shares its word with a zero.
-    if width[-1] <= 30 and choice[-1] == 0:
-        choice[-1] = 15
-    hops = _COUNT[choice].tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i += hops[i]
-    at = np.array(starts, np.int64)
+    alone = ends[(width[ends - 1] <= 30) & (choice[ends - 1] == 0)] - 1
+    hops = _COUNT[choice].astype(np.int32)
+    choice[alone] = 15
+    at = _walk(hops)
     sel = choice[at]
     escapes = sel == 0
     place = np.arange(len(at)) + np.concatenate([[0], np.cumsum(escapes)[:-1]])
     words = np.zeros(len(at) + int(escapes.sum()), np.uint64)
-    padded = np.concatenate([values, np.zeros(240, np.uint64)])
+    padded = np.append(values, np.uint64(0))
     for s, count, bits in SELECTORS:
         rows = np.flatnonzero(sel == s)
         if not len(rows):
             continue
-        word = np.full(len(rows), s << 60, np.uint64)
+        word, begin = np.full(len(rows), s << 60, np.uint64), at[rows]
         for k in range(count if bits else 0):
-            word |= padded[at[rows] + k] << np.uint64(bits * k)
+            value = padded[begin + k]
+            if k == 1 and s == 15 and len(alone):
+                value[np.isin(begin, alone)] = 0
+            word |= value << np.uint64(bits * k)
         words[place[rows]] = word
     rows = np.flatnonzero(escapes)
     words[place[rows] + 1] = values[at[rows]]
-    return words
+    return words, place[np.searchsorted(at, np.arange(n_blocks) * block)]
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     """The body for a run of unsigned integers of up to 64 bits."""
     values = np.asarray(values, dtype=np.uint64)
-    parts = [_block_words(values[i : i + block]) for i in range(0, len(values), block)]
-    first = np.cumsum([0, *[len(p) for p in parts]])
-    head = np.array([VERSION, block, len(values), len(parts), first[-1], *first[:-1]], dtype="<u4").tobytes()
+    parts, first, n_words = [], [], 0
+    together = max(1, TOGETHER // block) * block
+    for i in range(0, len(values), together):
+        words, begin = _block_words(values[i : i + together], block)
+        parts.append(words)
+        first += (begin + n_words).tolist()
+        n_words += len(words)
+    head = np.array([VERSION, block, len(values), len(first), n_words, *first], dtype="<u4").tobytes()
     head = MAGIC + head
     return head + b"\0" * (-len(head) % 8) + b"".join(p.astype("<u8").tobytes() for p in parts)
 
 
-def _decode_block(words: np.ndarray, n: int) -> np.ndarray:
-    sel = (words >> np.uint64(60)).astype(np.int64)
+def _decode_blocks(words: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of blocks whose words follow each other, by the first word and the number of values of each."""
+    sel = (words >> np.uint64(60)).astype(np.int8)
     if not (sel == 0).any():
         at = np.arange(len(words))
     else:  # the word after an escape is a value: walk from escape to escape
@@ -123,12 +160,15 @@ def _decode_block(words: np.ndarray, n: int) -> np.ndarray:
     for s, count, bits in SELECTORS:
         rows = np.flatnonzero(sel == s)
         if len(rows) and bits:
-            got, mask = words[at[rows]], np.uint64((1 << bits) - 1)
+            got, to, mask = words[at[rows]], begin[rows], np.uint64((1 << bits) - 1)
             for k in range(count):
-                out[begin[rows] + k] = (got >> np.uint64(bits * k)) & mask
+                out[to + k] = (got >> np.uint64(bits * k)) & mask
     rows = np.flatnonzero(sel == 0)
     out[begin[rows]] = words[at[rows] + 1]
-    return out[:n]
+    start = begin[np.searchsorted(at, first)]  # a block's last word may hold more than its values
+    if len(out) == sizes.sum():
+        return out
+    return np.concatenate([out[a : a + n] for a, n in zip(start.tolist(), sizes.tolist(), strict=True)])
 
 
 def decode(body: bytes, blocks: slice = slice(None)) -> np.ndarray:
@@ -138,9 +178,13 @@ def decode(body: bytes, blocks: slice = slice(None)) -> np.ndarray:
     version, block, n, n_blocks, n_words = np.frombuffer(body, "<u4", 5, 4).tolist()
     if version != VERSION:
         raise ValueError(f"unknown version {version}")
-    first = [*np.frombuffer(body, "<u4", n_blocks, 24).tolist(), n_words]
+    first = np.append(np.frombuffer(body, "<u4", n_blocks, 24), n_words).astype(np.int64)
     words = np.frombuffer(body, "<u8", n_words, 24 + 4 * n_blocks + (-(24 + 4 * n_blocks) % 8))
-    parts = [_decode_block(words[first[i] : first[i + 1]], min(block, n - i * block)) for i in range(*blocks.indices(n_blocks))]
+    sizes = np.minimum(block, n - np.arange(n_blocks) * block)
+    a, b, step = blocks.indices(n_blocks)
+    together = max(1, TOGETHER // block) if step == 1 else 1
+    spans = [(i, min(i + together, b) if step == 1 else i + 1) for i in range(a, b, step * together)]
+    parts = [_decode_blocks(words[first[i] : first[j]], first[i:j] - first[i], sizes[i:j]) for i, j in spans]
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
