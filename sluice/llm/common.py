@@ -17,12 +17,18 @@ from pyspark.sql import functions as F
 
 #: Letters that neither composition nor lower-casing turns into several, and marks that no special token or contraction has.
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+"
-_MARKS = r"[!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]*"
+_MARK_SIGNS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
+_MARKS = f"[{re.escape(_MARK_SIGNS)}]*"
+_WORD = re.compile(_LETTERS)
 _PLAIN_WORD = re.compile(f"({_LETTERS})({_MARKS})")
 _PLAIN_LINES = re.compile(f"({_LETTERS})({_MARKS})(?:\n({_LETTERS})({_MARKS}))?")
 _OTHER_SPACES = [c for c in map(chr, range(0x110000)) if c.isspace() and c != " "]
 #: How byte-level vocabularies write the bytes that letters beyond ASCII have.
 _BYTES = {0x80 + i: chr(0x122 + i) for i in range(0x21)} | {0xAD: chr(0x143)}
+#: A stop or comma alone between a letter and white space: a word of its own where white space is dropped.
+_STOP = re.compile(r"[.,](?<=[A-Za-z][.,])(?=[ \n])")
+#: The code point that a byte-level vocabulary writes for each byte; a space, which no word has, stays.
+_BYTE_POINTS = np.array([ord(_BYTES.get(b, chr(b))) for b in range(256)], "<u4")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -208,9 +214,12 @@ class IdEncoder:
 
     Pieces between two spaces that have no white space beside them are encoded once and
     kept: both supported kinds of vocabulary cut texts there in any case, so the ids are
-    those of the whole text. Any other text goes through a slower split that keeps runs
+    those of the whole text. Where the vocabulary drops white space and case, ASCII texts are
+    lower-cased first and a lone stop or comma after a word is a piece of its own, so fewer
+    pieces are met once only. Any other text goes through a slower split that keeps runs
     of white space whole. A new piece of Latin letters is one word to both kinds, the marks
-    after it another, a line end a third, so the vocabulary's model is asked for them directly. Other new
+    after it another, a line end a third, so the vocabulary's model is asked for them directly;
+    where it marks the ends of words, for many words at once. Other new
     pieces are encoded many at a time, joined by a mark that always is a token of its own. The cache has two generations of up to `most` bytes:
     when the younger one is full it becomes the older, whose pieces return when used.
     Strings of special tokens in a text are those tokens, as the library has it by
@@ -238,6 +247,16 @@ class IdEncoder:
         self.model, self.lead = self.tokenizer.model, "" if self.drops_space else "\u0120"
         self.plain = _PLAIN_WORD if self.drops_space else _PLAIN_LINES
         self.marks: dict[str, bytes] = {}
+        self.words = None
+        if self.drops_space:
+            from tokenizers.pre_tokenizers import WhitespaceSplit
+
+            self.words = Tokenizer(self.model)  # the model alone, for words as it has them
+            self.words.pre_tokenizer = WhitespaceSplit()
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(self.model.end_of_word_suffix)]] = True
+        self.folds = len({x.tobytes() for x in self._encode(["ABC Then xQz", "abc then xqz"])}) == 1
         samples = ["the", "Then", "ABC", "xqzvyk", "of.", "End!", "wh?", "re%%%", "n_(x"[:3], "\u00c9t\u00e9", "\u0141\u017c\u00e0\u00ed\u0160\u0117;"]
         samples += [] if self.drops_space else ["end.\nNow", "a\nb!!", "\u00e0.\n\u00c0\u00e9"]
         if [self._word(p) for p in samples] != [x.tobytes() for x in self._encode([self._text(p) for p in samples])]:
@@ -250,7 +269,11 @@ class IdEncoder:
 
     def split(self, text: str) -> list:
         if self.drops_space:
-            return text.replace("\n", " ").split(" ")
+            if self.folds and text.isascii():
+                lowered = text.lower()  # as the vocabulary does, but it looks for special tokens before
+                if not any(x in lowered for x in self.special):
+                    text = lowered
+            return _STOP.sub(r" \g<0>", text).replace("\n", " ").split(" ")
         pieces = _LONE_SPACE.split(text) if _space_by_space(text) else text.split(" ")
         pieces[0] = (pieces[0],)  # the first has no space before it, all others have
         return pieces
@@ -281,6 +304,39 @@ class IdEncoder:
         ids = [t.id for t in self.model.tokenize(lead + word)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _learn_words(self, pieces: list[str], together: int = 500) -> list[str]:
+        """Keeps the ids of the pieces that are plain words, where the vocabulary marks the ends of words; gives the others back."""
+        plain, words, others, held = [], [], [], 0
+        for p in pieces:  # no matches or tuples are kept, which the garbage collector would walk through
+            word = p.rstrip(_MARK_SIGNS)
+            if word.isalpha() and (word.isascii() or _WORD.fullmatch(word)):
+                plain.append(p)
+                words.append(word)
+            else:
+                others.append(p)
+        lowered = "\n".join(words).lower().split("\n")  # none of these letters becomes two
+        ids = {w: self.cache.get(w) or self.older.get(w) for w in lowered} if plain else {}
+        new = sorted([w for w, known in ids.items() if known is None])  # words of like letters use the same merges
+        runs = [new[i : i + together] for i in range(0, len(new), together)]
+        points = [_BYTE_POINTS[np.frombuffer(" ".join(run).encode(), np.uint8)] for run in runs]
+        got = self.words.encode_batch_fast([x.tobytes().decode("utf-32-le") for x in points], add_special_tokens=False)
+        for run, tokens in zip(runs, got, strict=True):
+            flat = np.array(tokens.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[flat]) + 1)).tolist()
+            if len(ends) != len(run) or ends[-1] != 4 * len(flat):
+                ids.update((w, self._tokens(self.lead, w)) for w in run)
+                continue
+            flat = flat.tobytes()
+            ids.update((w, flat[a:b]) for w, a, b in zip(run, [0, *ends], ends, strict=False))
+        for piece, word in zip(plain, lowered, strict=False):
+            found = ids[word]
+            if len(piece) > len(word):
+                found += self._mark(piece[len(word) :])
+            self.cache[piece] = found
+            held += self.ENTRY + len(piece) + len(found)
+        self.held += held
+        return others
+
     def _mark(self, mark: str) -> bytes:
         ids = self.marks.get(mark)
         if ids is None:
@@ -293,8 +349,11 @@ class IdEncoder:
     def _learn(self, pieces: list, together: int = 200) -> None:
         mark = self.mark.strip(" ")
         plain, odd = [], []
+        by_word = self.words is None and self.lead is not None
+        if self.words is not None and self.lead is not None:
+            pieces = self._learn_words(pieces)
         for piece in pieces:
-            ids = self._word(piece) if self.lead is not None and isinstance(piece, str) else None
+            ids = self._word(piece) if by_word and isinstance(piece, str) else None
             if ids is not None:
                 self._keep(piece, ids)
                 continue

@@ -1,11 +1,13 @@
-"""The coding of token files against a plain coder, and the work it leaves to Python."""
+"""Token files: the coding against a plain coder, words against the library, and the work that is left to Python."""
 
+import random
 import sys
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from sluice.llm import tokenfile
+from sluice.llm import common, tokenfile
 
 
 def plain_words(values: list[int], block: int) -> tuple[list[int], list[int]]:
@@ -64,3 +66,21 @@ def test_python_takes_few_steps_a_value():
         sys.setprofile(None)
     assert (got == values).all()
     assert calls < len(values) // 10
+
+
+def test_a_word_is_learnt_once_whatever_its_case_and_stop():
+    enc = common.IdEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Erinth, erinth. ERINTH\nerinth.\n eRinth, end"]
+    assert [x.tobytes() for x in enc.encode(texts)] == [x.tobytes() for x in enc._encode(texts)]
+    assert {p for p in enc.cache if p} == {"erinth", ",", ".", "end"}
+
+
+def test_case_and_stops_as_the_library_has_them():
+    enc = common.IdEncoder(public_tokenizers.path("word_bpe_49k.json"), most=20_000)
+    rng = random.Random(7)
+    parts = ["Erin", "aN", "x", "É", "é", "é", "İ", "Σ", "ΑΣ", "K", "ß", "ẞ", "ſ", "7", "½", "日本", "'S", "'s", "'", ".", ",", "...", ").", "),", "-", "́", " ", "  ", "\n", "\t", "\x85", "\xa0", "​", "\x01", "<|endoftext|>", "<|EndOfText|>", "<|", "|>", "\0", "Zq" * 150]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(12_000)]
+    plain = ["Erin", "aN", "ton", "x", ".", ",", ".", " ", " ", "\n", "'S", "<|EndOfText|>", "<|endoftext|>"]
+    texts += ["".join(rng.choice(plain) for _ in range(rng.randint(0, 30))) for _ in range(6_000)]
+    for i in range(0, len(texts), 500):
+        assert [x.tobytes() for x in enc.encode(texts[i : i + 500])] == [x.tobytes() for x in enc._encode(texts[i : i + 500])]
