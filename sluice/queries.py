@@ -472,9 +472,8 @@ def fanout_graph_body(spark, sf_dir):
     reg.graphs["q/body@1"] = ({"name": "body", "inputs": {"x": {}}, "nodes": [{"id": "p", "routine": "vec/pack@1", "in": {"a0": "$input.x"}}], "exports": [{"name": "out", "from": "p.a0"}]}, None)
     g = _graph([{"id": "c", "routine": "vec/const@1", "params": {"value": [1, 2, 3]}}, {"id": "m", "species": "map", "body": "q/body@1", "over": "x", "in": {"x": "c"}}], {"m": "m"}, None, reg)
     events = _read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("execution_id"), "event_type")
-    rows = execute_all(g, events.withColumn("facts", F.lit(None).cast("string")), detail="light")
-    joined = rows.filter("outcome = 'executed'").select("execution_id", "key").join(events, "execution_id")
-    return joined.groupBy("event_type").agg(F.count_if(F.col("key").rlike("^m/[0-9]+$")).alias("children"), F.count_if(F.col("key") == "m").alias("gathers"))
+    rows = execute_all(g, events.withColumn("facts", F.lit(None).cast("string")), detail="light", carry=("event_type",)).filter("outcome = 'executed'")
+    return rows.groupBy("event_type").agg(F.count_if(F.col("key").rlike("^m/[0-9]+$")).alias("children"), F.count_if(F.col("key") == "m").alias("gathers"))
 
 
 @_query("ingest_canonical", "SELECT event_id AS key, replace(props, ' ', '') AS canonical, NULL::VARCHAR AS reject_reason FROM events")
