@@ -218,8 +218,8 @@ class IdEncoder:
     lower-cased first and a lone stop or comma after a word is a piece of its own, so fewer
     pieces are met once only. Any other text goes through a slower split that keeps runs
     of white space whole. A new piece of Latin letters is one word to both kinds, the marks
-    after it another, a line end a third, so the vocabulary's model is asked for them directly;
-    where it marks the ends of words, for many words at once. Other new
+    after it another, a line end a third, so the vocabulary's model is asked for them directly,
+    for many words at once where no line end is among them. Other new
     pieces are encoded many at a time, joined by a mark that always is a token of its own. The cache has two generations of up to `most` bytes:
     when the younger one is full it becomes the older, whose pieces return when used.
     Strings of special tokens in a text are those tokens, as the library has it by
@@ -247,15 +247,13 @@ class IdEncoder:
         self.model, self.lead = self.tokenizer.model, "" if self.drops_space else "\u0120"
         self.plain = _PLAIN_WORD if self.drops_space else _PLAIN_LINES
         self.marks: dict[str, bytes] = {}
-        self.words = None
-        if self.drops_space:
-            from tokenizers.pre_tokenizers import WhitespaceSplit
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
-            self.words = Tokenizer(self.model)  # the model alone, for words as it has them
-            self.words.pre_tokenizer = WhitespaceSplit()
-            vocabulary = self.tokenizer.get_vocab()
-            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(self.model.end_of_word_suffix)]] = True
+        self.words = Tokenizer(self.model)  # the model alone, for words as it has them
+        self.words.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word, or else that begin one
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith(self.model.end_of_word_suffix) if self.drops_space else t.startswith(self.lead))]] = True
         self.folds = len({x.tobytes() for x in self._encode(["ABC Then xQz", "abc then xqz"])}) == 1
         samples = ["the", "Then", "ABC", "xqzvyk", "of.", "End!", "wh?", "re%%%", "n_(x"[:3], "\u00c9t\u00e9", "\u0141\u017c\u00e0\u00ed\u0160\u0117;"]
         samples += [] if self.drops_space else ["end.\nNow", "a\nb!!", "\u00e0.\n\u00c0\u00e9"]
@@ -305,36 +303,36 @@ class IdEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn_words(self, pieces: list[str], together: int = 500) -> list[str]:
-        """Keeps the ids of the pieces that are plain words, where the vocabulary marks the ends of words; gives the others back."""
-        plain, words, others, held = [], [], [], 0
+        """Keeps the ids of the pieces that are plain words, which the vocabulary marks at their ends or after a space; gives the others back."""
+        plain, words, others = [], [], []
         for p in pieces:  # no matches or tuples are kept, which the garbage collector would walk through
-            word = p.rstrip(_MARK_SIGNS)
+            word = p.rstrip(_MARK_SIGNS) if isinstance(p, str) else ""
             if word.isalpha() and (word.isascii() or _WORD.fullmatch(word)):
                 plain.append(p)
                 words.append(word)
             else:
                 others.append(p)
-        lowered = "\n".join(words).lower().split("\n")  # none of these letters becomes two
-        ids = {w: self.cache.get(w) or self.older.get(w) for w in lowered} if plain else {}
-        new = sorted([w for w, known in ids.items() if known is None])  # words of like letters use the same merges
+        lowered = "\n".join(words).lower().split("\n") if self.drops_space else words  # none of these letters becomes two
+        if not plain:
+            return others
+        distinct = set(lowered)
+        unknown = distinct.difference(self.cache).difference(self.older)
+        ids = {w: self.cache.get(w) or self.older[w] for w in distinct - unknown}
+        new = sorted(unknown)  # words of like letters use the same merges
         runs = [new[i : i + together] for i in range(0, len(new), together)]
         points = [_BYTE_POINTS[np.frombuffer(" ".join(run).encode(), np.uint8)] for run in runs]
-        got = self.words.encode_batch_fast([x.tobytes().decode("utf-32-le") for x in points], add_special_tokens=False)
+        got = self.words.encode_batch_fast([self.lead + x.tobytes().decode("utf-32-le").replace(" ", " " + self.lead) for x in points], add_special_tokens=False)
         for run, tokens in zip(runs, got, strict=True):
             flat = np.array(tokens.ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.ends_word[flat]) + 1)).tolist()
+            ends = (4 * (np.flatnonzero(self.edge[flat] if self.drops_space else np.append(self.edge[flat[1:]], True)) + 1)).tolist()
             if len(ends) != len(run) or ends[-1] != 4 * len(flat):
                 ids.update((w, self._tokens(self.lead, w)) for w in run)
                 continue
             flat = flat.tobytes()
             ids.update((w, flat[a:b]) for w, a, b in zip(run, [0, *ends], ends, strict=False))
-        for piece, word in zip(plain, lowered, strict=False):
-            found = ids[word]
-            if len(piece) > len(word):
-                found += self._mark(piece[len(word) :])
-            self.cache[piece] = found
-            held += self.ENTRY + len(piece) + len(found)
-        self.held += held
+        found = [ids[w] if len(p) == len(w) else ids[w] + self._mark(p[len(w) :]) for p, w in zip(plain, lowered, strict=True)]
+        self.cache.update(zip(plain, found, strict=True))
+        self.held += self.ENTRY * len(plain) + sum(map(len, plain)) + sum(map(len, found))
         return others
 
     def _mark(self, mark: str) -> bytes:
@@ -349,8 +347,8 @@ class IdEncoder:
     def _learn(self, pieces: list, together: int = 200) -> None:
         mark = self.mark.strip(" ")
         plain, odd = [], []
-        by_word = self.words is None and self.lead is not None
-        if self.words is not None and self.lead is not None:
+        by_word = not self.drops_space and self.lead is not None
+        if self.lead is not None:
             pieces = self._learn_words(pieces)
         for piece in pieces:
             ids = self._word(piece) if by_word and isinstance(piece, str) else None
@@ -388,10 +386,10 @@ class IdEncoder:
                 self.older, self.cache, self.held = self.cache, {}, 0
                 missing = list(used)
             if self.older:
-                for p in missing:
-                    if p in self.older:
-                        self._keep(p, self.older[p])
-                missing = [p for p in missing if p not in self.cache]
+                back = {p: self.older[p] for p in missing if p in self.older}
+                self.cache |= back
+                self.held += sum(self.ENTRY + len(p if isinstance(p, str) else p[0]) for p in back) + sum(map(len, back.values()))
+                missing = [p for p in missing if p not in back]
             self._learn(missing)
         cache = self.cache
         take = {p: cache[p] for p in used}.__getitem__  # smaller, so that its places are nearer

@@ -27,3 +27,14 @@ def test_space_beside_white_space():
     for _ in range(20_000):
         text = "".join(rng.choice("ab \n\t\x85　 ") for _ in range(rng.randint(1, 6)))
         assert common._space_by_space(text) == (text[0] == " " or text[-1] == " " or any(a.isspace() and b.isspace() and " " in a + b for a, b in zip(text, text[1:], strict=False)))
+
+
+def test_new_words_are_learned_many_at_once():
+    """Words after a space are asked for together, also where the vocabulary has no mark for their ends."""
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc, alone = common.IdEncoder(public_tokenizers.path(name)), []
+        plain = enc._tokens
+        enc._tokens = lambda lead, word, plain=plain, alone=alone: alone.append(word) or plain(lead, word)
+        text = "Start " + " ".join(f"{a}qu{b}ré{c}{d}" for a in "xyzABC" for b in "aeiouš" for c in "kvwž" for d in ("", ".", '").'))
+        assert enc.encode([text])[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+        assert not alone
