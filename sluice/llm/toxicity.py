@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, lots
+from .common import fold, in_slices, lots
 
 DIM, POSITIVES, UNLABELLED, SELECTED, FOLDS = 1 << 18, 2_000, 5_000, 4_096, 5
 _WORD = re.compile(r"\w+")
@@ -41,24 +41,97 @@ def features_of(word: str) -> set[int]:
     return {xxhash.xxh32_intdigest(n.encode("utf-8", "surrogatepass")) & (DIM - 1) for n in names}
 
 
+def _rounds(data: np.ndarray) -> np.ndarray:
+    """xxh32 of the rows of a matrix of under 16 bytes a row."""
+    rows, size = data.shape
+    turn = lambda h, n: (h << np.uint32(n)) | (h >> np.uint32(32 - n))
+    h = np.full(rows, (374761393 + size) & 0xFFFFFFFF, np.uint32)
+    for at in range(0, size - 3, 4):
+        four = np.ascontiguousarray(data[:, at : at + 4]).view("<u4")[:, 0]
+        h = turn(h + four * np.uint32(3266489917), 17) * np.uint32(668265263)
+    for at in range(size // 4 * 4, size):
+        h = turn(h + data[:, at].astype(np.uint32) * np.uint32(374761393), 11) * np.uint32(2654435761)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(2246822519)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(3266489917)
+    return h ^ (h >> np.uint32(16))
+
+
+def _slice_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, together: int = 1_000_000) -> np.ndarray:
+    """xxh32 of slices of bytes, those of one length together."""
+    out = np.empty(len(start), np.uint32)
+    for n in np.flatnonzero(np.bincount(size)).tolist():
+        rows = np.flatnonzero(size == n)
+        if n >= 16:
+            whole = data.tobytes()
+            out[rows] = [xxhash.xxh32_intdigest(whole[i : i + n]) for i in start[rows].tolist()]
+            continue
+        for i in range(0, len(rows), together):
+            out[rows[i : i + together]] = _rounds(data[start[rows[i : i + together]][:, None] + np.arange(n)])
+    return out
+
+
+def _marked(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names as UTF-8 one after the other, the place of each character (and the end), the number of characters before each name (and in all)."""
+    data = np.frombuffer("".join(names).encode("utf-8", "surrogatepass"), np.uint8)
+    places = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    return data, places, np.concatenate([[0], np.cumsum([len(n) for n in names])])
+
+
+def features_of_all(words: list[str], chosen: np.ndarray | None = None) -> list[bytes]:
+    """The (chosen) features of each word as bytes, those of `features_of` in any order; one may be there twice."""
+    found, owners = [], []
+    for names in (["w" + w for w in words], ["p" + w[:5] for w in words]):
+        data, places, ends = _marked(names)
+        found.append(_slice_hashes(data, places[ends[:-1]], np.diff(places[ends])))
+        owners.append(np.arange(len(words)))
+    data, places, ends = _marked([f"^{w}$" for w in words])
+    count = np.diff(ends) - 3
+    first = np.repeat(ends[:-1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    found.append(_slice_hashes(data, places[first], places[first + 4] - places[first]))
+    owners.append(np.repeat(np.arange(len(words)), count))
+    flat, owner = np.concatenate(found) & np.uint32(DIM - 1), np.concatenate(owners)
+    if chosen is not None:
+        kept = chosen[flat]
+        flat, owner = flat[kept], owner[kept]
+    flat = flat[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
+    sizes = np.bincount(owner, minlength=len(words))
+    ends, out = np.cumsum(sizes).tolist(), [b""] * len(words)
+    for i in np.flatnonzero(sizes).tolist():
+        out[i] = flat[4 * ends[i - 1] if i else 0 : 4 * ends[i]]
+    return out
+
+
 class _Pieces(dict):
-    """White-space separated piece -> bytes of the (chosen) features of its words."""
+    """White-space separated piece -> bytes of the (chosen) features of its words.
 
-    def __init__(self, chosen: np.ndarray | None = None, limit: int = 200_000):
-        self.chosen, self.limit = chosen, limit
+    New pieces are learned many at once. There are two generations of up to about `limit`
+    pieces: when the younger one is full it becomes the older, whose pieces return when used.
+    """
 
-    def __missing__(self, piece: str) -> bytes:
-        found = set().union(*(features_of(w) for w in _WORD.findall(piece.lower())))
-        if self.chosen is not None:
-            found = [f for f in found if self.chosen[f]]
-        value = np.array(sorted(found), "<u4").tobytes()
+    def __init__(self, chosen: np.ndarray | None = None, limit: int = 200_000):
+        self.chosen, self.limit, self.older = chosen, limit, {}
+
+    def _learn(self, pieces: list[str]) -> None:
+        found = [(p, _WORD.findall(p.lower())) for p in pieces]
+        words = list({w: None for _, each in found for w in each})
+        known = dict(zip(words, features_of_all(words, self.chosen), strict=True)) if words else {}
+        for piece, each in found:
+            self[piece] = known[each[0]] if len(each) == 1 else b"".join([known[w] for w in each])
+
+    def distinct(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The distinct (chosen) features of each text, in order."""
+        split = [(t or "").split() for t in texts]
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        self[piece] = value
-        return value
-
-    def distinct(self, text: str | None) -> np.ndarray:
-        return np.unique(np.frombuffer(b"".join(map(self.__getitem__, (text or "").split())), "<u4"))
+        missing = [p for p in set().union(*split) if p not in self]
+        if self.older:
+            back = {p: self.older[p] for p in missing if p in self.older}
+            self.update(back)
+            missing = [p for p in missing if p not in back]
+        for a, b in in_slices(missing, 200_000):
+            self._learn(missing[a:b])
+        return [np.unique(np.frombuffer(b"".join(map(self.__getitem__, each)), "<u4")) for each in split]
 
 
 @dataclass
@@ -134,8 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, positives: int
 
     def run(batches):
         pieces = _Pieces()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([pieces.distinct(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["features"])
+        for batch in lots(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in pieces.distinct(batch.column(1).to_pylist())], pa.binary())], names=["features"])
 
     collected = [
         [np.frombuffer(r[0], "<u4") for r in part.select("doc_id", "text").mapInArrow(run, "features binary").collect()]
@@ -159,7 +232,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _scores(model: Model, pieces: _Pieces, texts: pa.Array) -> pa.Array:
-    return pa.array([model.score(pieces.distinct(t)) for t in texts.to_pylist()], pa.float64())
+    return pa.array([model.score(x) for x in pieces.distinct(texts.to_pylist())], pa.float64())
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
