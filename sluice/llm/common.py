@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import struct
 import tempfile
@@ -11,6 +12,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -411,6 +413,27 @@ def encoder(path: str, ordinary: bool = False, cache: int = 160_000_000) -> IdEn
 def forget() -> None:
     """Gives the memory of the encoder's cache back: worker processes outlive the step that filled it."""
     _encoders.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that is free but still held back to the system: worker processes outlive their steps."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def tidy(run):
+    """A step of a chain over Arrow batches: without what earlier steps' encoders hold in this process, and giving free memory back at its end."""
+
+    def tidied(batches):
+        forget()
+        yield from run(batches)
+        trim()
+
+    return tidied
 
 
 def in_slices(texts: list, chars: int = 2_000_000):

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lots, mix, stored, word_hashes, word_hashes_of
+from .common import lots, mix, stored, tidy, word_hashes, word_hashes_of
 
 EDITS, RECALL, SAMPLED, PER_WALK, BLOCK, WORDS, TOGETHER = 0.2, 0.99, 3, 6, 20_000, 2_000_000, 4
 #: Where simulated edits lie.
@@ -326,7 +326,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, **
                 hits = [[*old, *({"item_id": i, "first_word": s, "edits": d} for i, s, d in new)] for old, new in zip(batch.column(2).to_pylist(), more, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, kind)], names=["doc_id", "text", "hits"])
 
-        return rows.mapInArrow(run, f"doc_id long, text string, hits {_HITS}")
+        return rows.mapInArrow(tidy(run), f"doc_id long, text string, hits {_HITS}")
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.array().cast(_HITS).alias("hits"))
     return _passes(rows, search, benchmark, **options)
@@ -353,6 +353,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             for batch in lots(batches, at):
                 yield batch.filter(pa.array([not hits for hits in _hits(indexes, batch.column(at).to_pylist())], pa.bool_()))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(tidy(run), rows.schema)
 
     return _passes(docs, search, benchmark, **options)

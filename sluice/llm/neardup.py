@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmaps import BITS, bitmap, drop_rows, in_bitmap, keep_one, row_key
-from .common import lots, mix, scratch, shingle_hashes, stored, word_hashes, word_hashes_of
+from .common import lots, mix, scratch, shingle_hashes, stored, tidy, word_hashes, word_hashes_of
 
 DF_BITS, SLICES, BANDS, ROWS, SHINGLE, THRESHOLD, SPAN = 20, 32, 12, 4, 5, 0.8, 100
 _TABLE = 1 << 16
@@ -209,7 +209,7 @@ def _signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "row", "node", "keys"])
 
     keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row"))
-    return keyed.mapInArrow(run, "doc_id long, row binary, node binary, keys array<long>")
+    return keyed.mapInArrow(tidy(run), "doc_id long, row binary, node binary, keys array<long>")
 
 
 class Group:
@@ -278,7 +278,7 @@ def _compare(units: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFr
             yield _edges(out)
         yield _edges(_joining(links))
 
-    return stream.mapInArrow(run, "a binary, b binary")
+    return stream.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _edges(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -297,7 +297,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 names=["doc_id", "node", "words"],
             )
 
-    found = some.mapInArrow(run, "doc_id long, node binary, words binary")
+    found = some.mapInArrow(tidy(run), "doc_id long, node binary, words binary")
     same = found.join(wanted.select("node", F.col("doc_id").alias("one")), "node").filter(F.col("doc_id").eqNullSafe(F.col("one")))
     return stored(same.select("node", "words").dropDuplicates(["node"]), "sets")
 

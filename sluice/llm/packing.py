@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import crc_of, encoder, lots
+from .common import crc_of, encoder, lots, trim
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
@@ -188,5 +188,6 @@ def pack(
                 yield flush()
         keep(packer.finish())
         yield flush()
+        trim()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, in_slices, lots
+from .common import fold, in_slices, lots, tidy
 
 DIM, POSITIVES, UNLABELLED, SELECTED, FOLDS = 1 << 18, 2_000, 5_000, 4_096, 5
 _WORD = re.compile(r"\w+")
@@ -246,4 +246,4 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in lots(batches, at):
             yield batch.filter(pc.less(_scores(model.value, pieces, batch.column(at)), 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -38,3 +38,11 @@ def test_new_words_are_learned_many_at_once():
         text = "Start " + " ".join(f"{a}qu{b}ré{c}{d}" for a in "xyzABC" for b in "aeiouš" for c in "kvwž" for d in ("", ".", '").'))
         assert enc.encode([text])[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
         assert not alone
+
+
+def test_steps_without_an_encoder_give_its_memory_back():
+    """Worker processes outlive their steps; one that encodes nothing holds no encoder beside its own tables."""
+    common.encoder(public_tokenizers.path(NAMES[0]))
+    assert common._encoders
+    assert list(common.tidy(lambda batches: (x for x in batches))(iter([1, 2]))) == [1, 2]
+    assert not common._encoders
